@@ -27,14 +27,14 @@ class Index:
     a query's lists. degree, beam: of the graph and its search. chunk: rows of a list that one task holds."""
 
     sample: int = 16_384
-    rows: int = 128
+    rows: int = 64
     centroids: int = 8_192
     copies: int = 4
     spread: float = 1.2
-    probes: int = 48
-    ratio: float = 1.6
+    probes: int = 64
+    ratio: float = 1.3
     degree: int = 24
-    beam: int = 64
+    beam: int = 96
     chunk: int = 4_096
 
 
@@ -108,7 +108,8 @@ class Graph:
             first_ok = fresh_ok & ~twice
             first_ok[:, 1:] |= fresh_ok[:, 1:] & twice[:, 1:] & ~fresh_ok[:, :-1]
             fresh_ok = first_ok
-            seen[rows, fresh] |= fresh_ok
+            r, c = np.nonzero(fresh_ok)
+            seen[r, fresh[r, c]] = True
             near = np.where(fresh_ok, np.einsum("mkd,md->mk", self.c[fresh], x), -np.inf)
             ids, sims, done = np.concatenate([ids, fresh], 1), np.concatenate([sims, near], 1), np.concatenate([done, ~fresh_ok], 1)
             keep = np.argsort(-sims, axis=1, kind="stable")[:, : self.beam]

@@ -47,9 +47,9 @@ def contains(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit
 
 
-def build(keys: DataFrame, key: str, max_bytes: int = MAX_BYTES) -> np.ndarray:
-    """The filter over a string column. Executors fill a slice of blocks each; the driver gets at most ``max_bytes``."""
-    hashed = keys.select(F.xxhash64(F.col(key)).alias("h"))
+def build(keys: DataFrame, key: str, max_bytes: int = MAX_BYTES, hashed: bool = False) -> np.ndarray:
+    """The filter over a column's xxhash64, or over the column if it is ``hashed`` already. Executors fill a slice of blocks each; the driver gets at most ``max_bytes``."""
+    hashed = keys.select((F.col(key) if hashed else F.xxhash64(F.col(key))).alias("h"))
     blocks = blocks_for(hashed.count(), max_bytes=max_bytes)
     slices = min(SLICES, blocks)
     per = -(-blocks // slices)

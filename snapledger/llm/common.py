@@ -59,10 +59,12 @@ def join_small(rows: DataFrame, small: DataFrame, key: str, how: str = "left", b
     """Join rows, whose keys may be hot, with a table that has one row for each key.
 
     Counted first: a table of at most ``bound`` rows is broadcast. A larger one is replicated ``salts`` times
-    and the rows are dealt over the salts, so that a key that holds a third of all rows is spread.
+    and the rows are dealt over the salts, so that a key that holds a third of all rows is spread; ``salts`` of 1 is for keys that are nearly unique.
     """
     if small.count() <= bound:
         return rows.join(F.broadcast(small), key, how)
+    if salts == 1:
+        return rows.join(small, key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
     return dealt.join(salted, [key, "_salt"], how).drop("_salt")

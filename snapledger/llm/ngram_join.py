@@ -2,8 +2,9 @@
 
 1. Documents with equal sets form a class; from here on a class is one set, however many copies it has.
 2. Sets in which a pair reaches the similarity share an element among the first few of each, in any order that all
-   sets follow. Here rare shingles come first: those that recur within a partition are counted over all documents, and the most
-   frequent of them come last. Elements that one class alone has among its first drop out, and with them most documents.
+   sets follow. Here shingles that one class alone has come first, in order of their hashes: those with low hashes are counted
+   over all documents, and a Bloom filter holds the ones that recur. The most frequent ones come last. First elements that
+   one class alone has drop out, and with them most documents.
 3. What is left falls into components of sets that may be linked. Components are packed into blocks of bounded size, a component
    that exceeds a block into pairs of blocks of compatible sizes, and each block is searched with DivideSkip for links.
 4. Links, a spanning forest of them, join classes into groups; a document's group is named by its smallest id.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import bloom, words
 from .common import join_small, kept
 from .components import components
 from .occurrence import forest, least_size
@@ -28,13 +29,15 @@ from .occurrence import forest, least_size
 
 @dataclass(frozen=True)
 class Join:
-    """shingle: words. percent: least similarity. block: shingles that a task searches at once. pending: shingles between counts in a task. frequent: most shingles that are ordered by frequency; this orders, it drops none."""
+    """shingle: words. percent: least similarity. block: shingles that a task searches at once. pending: shingles between counts in a task. frequent: most shingles that are ordered by frequency. low: share of all shingles whose recurrence is looked up. filter_bytes: most bytes of the filter. The last three only order shingles, they drop none."""
 
     shingle: int = 5
     percent: int = 80
     block: int = 2_000_000
     pending: int = 6_000_000
     frequent: int = 1 << 19
+    low: float = 0.2
+    filter_bytes: int = 16 << 20
 
 
 #: Of the query, by its contract.
@@ -91,24 +94,53 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
     return docs.mapInArrow(run, "kind tinyint, a long, b long, n long")
 
 
-class _Frequent:
-    """Ranks of frequent shingles, 0 for all others."""
+class _Order:
+    """Ranks of shingles: 0 for those that seem to be one class's alone, 1 for those that recur, counts for the most frequent."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, recurring: np.ndarray, limit: int):
         order = np.argsort(tokens)
-        self.tokens, self.ranks = tokens[order], counts[order]
+        self.tokens, self.counts, self.recurring, self.limit = tokens[order], counts[order], recurring, np.uint64(limit)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[tokens & np.uint64(0xFFFFF)] = True
 
     def ranks_of(self, s: np.ndarray) -> np.ndarray:
         out = np.zeros(len(s), np.int64)
+        low = np.flatnonzero(s < self.limit)
+        out[low] = bloom.contains(self.recurring, s[low])
         if len(self.tokens):
             some = np.flatnonzero(self.maybe[s & np.uint64(0xFFFFF)])
             at = np.minimum(np.searchsorted(self.tokens, s[some]), len(self.tokens) - 1)
-            out[some] = np.where(self.tokens[at] == s[some], self.ranks[at], 0)
+            own = self.tokens[at] == s[some]
+            out[some[own]] = self.counts[at[own]] + 1
         return out
 
 
+def _recurring(docs: DataFrame, limit: int, join: Join) -> DataFrame:
+    """Shingles below ``limit`` that more than one class has, or one class in more than one partition."""
+
+    def low(batches):
+        seen = set()
+        for batch in batches:
+            for _, _, found in words.blocks(batch.column(1)):
+                s, at = words.shingles(found.hashes(), found.first, join.shingle)
+                out = []
+                for i, c in enumerate(_class_of(s, at).tolist()):
+                    if c not in seen:
+                        seen.add(c)
+                        own = s[at[i] : at[i + 1]]
+                        out.append(own[: np.searchsorted(own, np.uint64(limit))])
+                if out:
+                    yield _rows(token=np.concatenate(out).view(np.int64))
+
+    def again(batches):
+        every = [b.column(0).to_numpy() for b in batches]
+        if every:
+            s = np.sort(np.concatenate(every))
+            yield _rows(token=np.unique(s[1:][s[1:] == s[:-1]]))
+
+    return docs.mapInArrow(low, "token long").repartition("token").mapInArrow(again, "token long")
+
+
 def _first(s: np.ndarray, ranks: np.ndarray, keep: int) -> np.ndarray:
     """The first elements of a sorted set, rare ones first."""
     frequent = ranks > 0
@@ -119,7 +151,7 @@ def _first(s: np.ndarray, ranks: np.ndarray, keep: int) -> np.ndarray:
     return np.concatenate([rare, last[np.lexsort((last, r))][: keep - len(rare)]])
 
 
-def _postings(docs: DataFrame, frequent, join: Join) -> DataFrame:
+def _postings(docs: DataFrame, order, join: Join) -> DataFrame:
     """(token, size, node) for the first elements of each class, once in a partition."""
 
     def run(batches):
@@ -127,7 +159,7 @@ def _postings(docs: DataFrame, frequent, join: Join) -> DataFrame:
         for batch in batches:
             for _, _, found in words.blocks(batch.column(1)):
                 s, at = words.shingles(found.hashes(), found.first, join.shingle)
-                of, ranks = _class_of(s, at).tolist(), frequent.value.ranks_of(s)
+                of, ranks = _class_of(s, at).tolist(), order.value.ranks_of(s)
                 tokens, sizes, nodes = [], [], []
                 for i, c in enumerate(of):
                     n = int(at[i + 1] - at[i])
@@ -234,13 +266,15 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", join: Join
     documents = described.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), "n")
     recurring = described.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("count"))
     top = recurring.filter("count >= 3").orderBy(F.desc("count"), "token").limit(join.frequent).toPandas()
-    frequent = spark.sparkContext.broadcast(_Frequent(top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)))
+    limit = int(join.low * 2**64)
+    words_ = bloom.build(kept(_recurring(rows, limit, join), "recurring"), "token", join.filter_bytes, hashed=True)
+    order = spark.sparkContext.broadcast(_Order(top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64), words_, limit))
 
     classes = kept(documents.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
-    candidates = components(_neighbours(_postings(rows, frequent, join), join.percent))
+    candidates = components(_neighbours(_postings(rows, order, join), join.percent))
     nodes = kept(candidates.join(classes, "node"), "candidates")
     wanted = kept(nodes.select("node", "id").join(_blocks(nodes, join), "node").select("id", "node", "task", "side"), "blocks")
-    links = kept(_links(join_small(rows, wanted, "id", "inner"), join), "links")
+    links = kept(_links(join_small(rows, wanted, "id", "inner", salts=1), join), "links")
     linked = components(links)
 
     named = linked.join(classes, "node").groupBy("component").agg(F.min("id").alias("component_id"))
@@ -255,4 +289,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", join:
     """Rows of docs that name their group, unchanged: the document with the smallest key of each group stays. Rows with a null key stay."""
     gone = grouped(docs, key, text, join).filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_id")).distinct()
     gone = kept(gone.withColumn("_gone", F.lit(True)), "near-copies")
-    return join_small(docs.withColumn("_id", F.col(f"`{key}`").cast("long")), gone, "_id").filter(F.col("_gone").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return join_small(docs.withColumn("_id", F.col(f"`{key}`").cast("long")), gone, "_id", salts=1).filter(F.col("_gone").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])

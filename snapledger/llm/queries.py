@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, mixing, ngram_join, quality, sharding, urls, warc
+from . import ann, chat, decontamination, lm_scoring, mixing, ngram_join, quality, sharding, urls, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.archived(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -46,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op4_sharding, op6_warc, op7_quality_classifier, op8_chat_formatting, op9_nearest_neighbours, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_source_mixing, op3_ngram_join, op4_sharding, op5_lm_scoring, op6_warc, op7_quality_classifier, op8_chat_formatting, op9_nearest_neighbours, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -55,6 +55,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df with each row as one struct ``_row``, so that no name of its columns can clash with ours."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns of packed rows."""
+    return [df["_row"].getField(c).alias(c) for c in columns]
+
+
 def join_small(rows: DataFrame, small: DataFrame, key: str, how: str = "left", bound: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Join rows, whose keys may be hot, with a table that has one row for each key.
 
@@ -66,5 +76,5 @@ def join_small(rows: DataFrame, small: DataFrame, key: str, how: str = "left", b
     if salts == 1:
         return rows.join(small, key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t]), F.lit(salts)).cast("int"))
     return dealt.join(salted, [key, "_salt"], how).drop("_salt")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_small, kept
+from .common import ascii_lower, join_small, kept, packed, unpacked
 
 #: What lies between words, after A-Z are lower-cased: ASCII but for digits and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,20 +114,22 @@ def without_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """Rows of docs that aren't contaminated, unchanged. Text isn't shuffled while the contaminated rows are few enough to be broadcast, by count."""
     bad = hits(docs, benchmark, key, text, **options).filter("contaminated").select(F.col("text_md5").alias("_md5")).distinct()
     bad = kept(bad, "contaminated")
-    rows = docs.withColumn("_md5", row_digest(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    return join_small(rows, bad.withColumn("_bad", F.lit(True)), "_md5", "left").filter(F.col("_bad").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs).withColumn("_md5", row_digest(F.col("_row").getField(key), F.col("_row").getField(text)))
+    left = join_small(rows, bad.withColumn("_bad", F.lit(True)), "_md5", "left").filter(F.col("_bad").isNull())
+    return left.select(*unpacked(left, docs.columns))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows of docs, with hit words and what follows them up to the next word removed from the text. Rows without hits keep their text exactly."""
     found = hits(docs, benchmark, key, text, **options).filter("n_hit > 0").groupBy(F.col("text_md5").alias("_md5")).agg(F.first("spans").alias("_spans"))
-    rows = docs.withColumn("_md5", row_digest(F.col(f"`{key}`"), F.col(f"`{text}`"))).join(found, "_md5", "left")
+    t = F.col("_row").getField(text)
+    rows = packed(docs).withColumn("_md5", row_digest(F.col("_row").getField(key), t)).join(found, "_md5", "left")
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    t = F.col(f"`{text}`")
     pieces = F.regexp_extract_all(t, F.lit(f"{word}+{gap}*"), F.lit(0))
     left = F.filter(pieces, lambda p, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["at"]) & (i < s["end"])))
     cut = F.concat(F.regexp_extract(t, f"^{gap}*", 0), F.array_join(left, ""))
-    return rows.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.col("_spans").isNull(), t).otherwise(cut).alias(text)
+    return rows.select(*[new if name == text else c for name, c in zip(docs.columns, unpacked(rows, docs.columns), strict=True)])
 
 
 ORACLE_SQL = r"""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_small, kept, word_count
+from .common import join_small, kept, packed, unpacked, word_count
 
 
 @dataclass(frozen=True)
@@ -114,9 +114,11 @@ def takings(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", mix: Mix = MIX) -> DataFrame:
     """The mix itself: rows of docs with all their columns, each as often as it is taken. Only the table of sources meets the text, so no text is shuffled."""
     sized = kept(_sized(docs, key, source, text, mix), "mix-sizes")
-    rows = docs.withColumn("_source", _source_key(F.col(f"`{source}`"))).withColumn("_hash", _order(F.col(f"`{key}`"), mix.seed))
+    row = F.col("_row")
+    rows = packed(docs).select("_row", _source_key(row.getField(source)).alias("_source"), _order(row.getField(key), mix.seed).alias("_hash"))
     chosen = join_small(rows, plan(sized, mix).select("_source", "whole", "cut"), "_source", "inner")
-    return chosen.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), _repeats().cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = chosen.select("_row", F.explode(F.array_repeat(F.lit(0), _repeats().cast("int"))))
+    return copies.select(*unpacked(copies, docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, words
-from .common import join_small, kept
+from .common import join_small, kept, packed, unpacked
 from .components import components
 from .occurrence import forest, least_size
 
@@ -289,4 +289,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", join:
     """Rows of docs that name their group, unchanged: the document with the smallest key of each group stays. Rows with a null key stay."""
     gone = grouped(docs, key, text, join).filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_id")).distinct()
     gone = kept(gone.withColumn("_gone", F.lit(True)), "near-copies")
-    return join_small(docs.withColumn("_id", F.col(f"`{key}`").cast("long")), gone, "_id", salts=1).filter(F.col("_gone").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = join_small(packed(docs).withColumn("_id", F.col("_row").getField(key).cast("long")), gone, "_id", salts=1).filter(F.col("_gone").isNull())
+    return left.select(*unpacked(left, docs.columns))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import packed, unpacked
 
 GOOD, JUNK, NOTHING = 2, 1, 0
 #: Labellers: statistic, votes junk from or up to (by the sign of the comparison), votes good within.
@@ -247,5 +248,5 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", fit: Fit =
 def kept_documents(docs: DataFrame, text: str = "text", fit: Fit = Fit()) -> DataFrame:
     """Rows of docs that the scorer keeps, unchanged. Nothing is shuffled but counts of votes."""
     model = fitted(docs, text, fit)
-    out = docs.withColumn("_j", judged(F.col(f"`{text}`"), model, docs.sparkSession))
-    return out.filter("_j.keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = packed(docs).withColumn("_j", judged(F.col("_row").getField(text), model, docs.sparkSession)).filter("_j.keep")
+    return out.select(*unpacked(out, docs.columns))

@@ -9,6 +9,7 @@ window after the first scores only what the one before hasn't.
 from __future__ import annotations
 
 import base64
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +21,20 @@ CLASSES = 64
 #: Buckets for the subword before, and what stands for it before a word's first subword.
 BEFORE = 192
 START = BEFORE
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 28
 WIDTH, HIDDEN = 16, 32
 #: Share of a class's probability that comes from its frequency, and weight of a subword's frequency in its class against counts in place.
 FLOOR, PRIOR = 0.02, 8.0
 
 
+#: White space beyond ASCII's, which the vocabulary's pattern splits at; such words are cut one by one.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words that are remembered.
+KNOWN = 500_000
+
+
 class Subwords:
-    """Cuts words, given as bytes, into ids of a public byte-level vocabulary."""
+    """Cuts words, given as bytes, into ids of a public byte-level vocabulary, and remembers them."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -36,26 +43,52 @@ class Subwords:
         with open(path) as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
         self.encode = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[int, np.ndarray] = {}
+        (self.stop,) = self.encode("\n")
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.pool, self.used = np.empty(1 << 16, np.int32), 0
+        self.begin, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _learn(self, hashes: list[int], spelled: list[str]) -> None:
+        """Many words are cut at once, a line each: a line feed is one id, and no word holds one."""
+        odd = [bool(ODD.search(w)) for w in spelled]
+        ids = np.array(self.encode("\n".join(" " + ("-" if o else w) for w, o in zip(spelled, odd, strict=True)) + "\n -"), np.int32)
+        stops = np.flatnonzero(ids == self.stop)
+        if len(stops) != len(spelled):
+            raise RuntimeError("a word holds a line feed")
+        pieces = np.split(ids, stops)[:-1] if any(odd) else None
+        if pieces is None:
+            n = np.diff(np.r_[-1, stops]) - 1
+            flat = np.delete(ids[: stops[-1] + 1], stops)
+        else:
+            pieces = [np.array(self.encode(" " + w), np.int32) if o else p[p != self.stop] for p, w, o in zip(pieces, spelled, odd, strict=True)]
+            n, flat = np.array([len(p) for p in pieces], np.int64), np.concatenate(pieces)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        first = len(self.place)
+        while first + len(n) > len(self.n):
+            self.n, self.begin = np.concatenate([self.n, np.empty_like(self.n)]), np.concatenate([self.begin, np.empty_like(self.begin)])
+        self.n[first : first + len(n)] = n
+        self.begin[first : first + len(n)] = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        self.place.update(zip(hashes, range(first, first + len(n)), strict=True))
 
     def cut(self, h: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words with hashes h, one after another, and where each word's begin. ``spelled(i)`` gives word i."""
         own, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > 2_000_000:
-            self.known.clear()
-        pieces = []
-        for x, i in zip(own.tolist(), at.tolist(), strict=True):
-            ids = self.known.get(x)
-            if ids is None:
-                ids = self.known[x] = np.array(self.encode(" " + spelled(i).decode("utf-8", "replace")), np.int32)
-            pieces.append(ids)
-        n = np.array([len(p) for p in pieces], np.int64)
-        begin = np.cumsum(n) - n
-        every = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
-        counts = n[back]
+        if len(self.place) > KNOWN:
+            self.forget()
+        keys = own.tolist()
+        new = [i for i, x in enumerate(keys) if x not in self.place]
+        if new:
+            self._learn([keys[i] for i in new], [spelled(i).decode("utf-8", "replace") for i in at[new].tolist()])
+        where = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
+        counts = self.n[where]
         first = np.r_[0, np.cumsum(counts)]
-        place = np.repeat(begin[back] - first[:-1], counts) + np.arange(first[-1])
-        return every[place], first
+        return self.pool[np.repeat(self.begin[where] - first[:-1], counts) + np.arange(first[-1])], first
 
 
 @dataclass
@@ -147,6 +180,7 @@ class Net:
 
 
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def windows(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,14 +188,15 @@ def windows(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = np.diff(first)
     count = np.where(n <= WINDOW, 1, 1 + -(-(n - WINDOW) // STRIDE)) * (n > 0)
     of = np.repeat(np.arange(len(n)), count)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    at = k * STRIDE
-    place = at[:, None] + np.arange(WINDOW)[None, :]
-    inside = place < n[of][:, None]
-    mine = inside & ((k[:, None] == 0) | (np.arange(WINDOW)[None, :] >= WINDOW - STRIDE))
-    target = np.where(mine, place + first[of][:, None], -1)
-    before = np.where((place > 0) & inside, place + first[of][:, None] - 1, -1)
-    x = np.where(before >= 0, ids[np.maximum(before, 0)], END)
+    k = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+    step = np.arange(WINDOW, dtype=np.int32)[None, :]
+    place = k[:, None] * np.int32(STRIDE) + step
+    inside = place < n[of].astype(np.int32)[:, None]
+    start = first[of].astype(np.int32)[:, None]
+    x = ids.astype(np.int32).take(np.where(inside & (place > 0), place + start - 1, 0))
+    x[~inside | (place == 0)] = END
+    inside &= (k[:, None] == 0) | (step >= WINDOW - STRIDE)
+    target = np.where(inside, place + start, np.int32(-1))
     return x, target, of
 
 
@@ -178,7 +213,7 @@ class Model:
     table: np.ndarray
     share: np.ndarray
 
-    def score(self, ids: np.ndarray, begins: np.ndarray, first: np.ndarray, batch: int = 1024) -> np.ndarray:
+    def score(self, ids: np.ndarray, begins: np.ndarray, first: np.ndarray, batch: int = 512) -> np.ndarray:
         """log10 probability of each id. begins: whether it begins a word (or is an end)."""
         x, target, _ = windows(ids, first)
         out = np.zeros(len(ids))
@@ -188,32 +223,43 @@ class Model:
             own = target[i : i + batch]
             u = self._seen(x[i : i + batch])
             on = own >= 0
-            z = np.maximum(u[on] @ self.net.w + self.net.c, 0)
-            logits = z @ self.net.o + self.net.b
+            z = u.reshape(-1, 2 * WIDTH).take(np.flatnonzero(on), axis=0) @ self.net.w
+            z += self.net.c
+            np.maximum(z, 0, out=z)
+            logits = z @ self.net.o
+            logits += self.net.b
+            np.minimum(logits, 60, out=logits)
+            np.exp(logits, out=logits)
             to = own[on]
             cls = self.of[ids[to]]
-            np.exp(np.minimum(logits, 60), out=logits)
-            p = logits[np.arange(len(to)), cls] / logits.sum(1)
+            p = logits[np.arange(len(to)), cls] / (logits @ np.ones(CLASSES, np.float32))
             out[to] = np.log10((1 - FLOOR) * p.astype(np.float64) + FLOOR * self.share[cls])
         return out + self.table[before, ids]
 
     def _seen(self, x: np.ndarray) -> np.ndarray:
         """What forward() has before the hidden layer, without what only training needs."""
-        net = self.net
-        h = net.e[x] + net.p
-        a = np.matmul(h @ net.q, (h @ net.k).transpose(0, 2, 1))
-        a *= np.float32(WIDTH**-0.5)
-        a += MASK
+        net, (m, n) = self.net, x.shape
+        u = np.empty((m, n, 2 * WIDTH), np.float32)
+        h = net.e.take(x, axis=0)
+        h += net.p
+        u[..., :WIDTH] = h
+        every = h.reshape(-1, WIDTH) @ np.concatenate([net.q * np.float32(WIDTH**-0.5), net.k, net.v], 1)
+        q, k, v = (every[:, i * WIDTH : (i + 1) * WIDTH].reshape(m, n, WIDTH) for i in range(3))
+        a = np.matmul(q, k.transpose(0, 2, 1))
         np.minimum(a, 30, out=a)
         np.exp(a, out=a)
-        t = np.matmul(a, h @ net.v)
+        a *= SEEN
+        t = np.matmul(a, v)
         t /= a.sum(2, keepdims=True)
-        return np.concatenate([h, t], 2)
+        u[..., WIDTH:] = t
+        return u
 
 
 def classes(ids: np.ndarray, first: np.ndarray, rounds: int = 12, seed: int = 9) -> np.ndarray:
     """A class for each id, by k-means on what stands before and after it in a sample; ids that the sample lacks share the last class."""
     width = 96
+    if not len(ids):
+        return np.full(SIZE, CLASSES - 1, np.int64)
     inner = np.ones(len(ids), bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     a, b = ids[:-1][inner[1:]], ids[1:][inner[1:]]

@@ -88,7 +88,7 @@ def _counted(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
         net, of = start.value
         net = lm.Net(*[p.copy() for p in net.parts()])
         subwords = lm.Subwords(_path(scoring))
-        seen, trained, ends = np.zeros((lm.BEFORE + 1) * lm.SIZE, np.int64), 0, 0
+        seen, trained, ends = np.zeros((lm.BEFORE + 1) * lm.SIZE, np.int32), 0, 0
         none = lambda n: pa.nulls(n, pa.binary())
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -103,7 +103,7 @@ def _counted(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
 
         for batch in batches:
             chosen = batch.column(1).to_numpy(zero_copy_only=False)
-            for begin, end, found in words.blocks(batch.column(0)):
+            for begin, end, found in words.blocks(batch.column(0), 2 << 20):
                 h = found.hashes()
                 own, at, back = np.unique(h, return_index=True, return_inverse=True)
                 n = np.bincount(back, minlength=len(own)) if len(h) else np.empty(0, np.int64)
@@ -124,9 +124,9 @@ def _counted(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
                     x, y, on = _training(ids, text_first, of)
                     net.train(x, y, on, rounds=1, rate=0.002)
                     trained += len(x)
-                if sum(map(len, hashes)) > 4_000_000:
+                if sum(map(len, hashes)) > 2_000_000:
                     h, n = merged()
-                    if len(h) > 3_000_000:
+                    if len(h) > 1_200_000:
                         yield from out(h, n)
                         hashes, counts = [], []
                     else:
@@ -138,7 +138,7 @@ def _counted(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
         if hashes:
             yield from out(*merged())
         own = np.flatnonzero(seen)
-        yield _rows(kind=np.ones(len(own), np.int8), a=own, n=seen[own], data=none(len(own)))
+        yield _rows(kind=np.ones(len(own), np.int8), a=own, n=seen[own].astype(np.int64), data=none(len(own)))
         if trained:
             flat = np.concatenate([p.ravel() for p in net.parts()])
             for k, piece in enumerate(np.array_split(flat, SLICES)):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, least_hashed
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,7 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings, key, vector)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(index.sample).select("v").collect()
+    sample = least_hashed(rows, "id", index.sample).select("v").collect()
     total = rows.count() if len(sample) == index.sample else len(sample)
     if not total:
         return spark.range(0).selectExpr("id as query_id", "cast(0 as int) as rank", f"id as `{key}`", "cast(0 as double) as score")

@@ -65,6 +65,26 @@ def unpacked(df: DataFrame, columns: list[str]) -> list[Column]:
     return [df["_row"].getField(c).alias(c) for c in columns]
 
 
+def least_hashed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows, never more, those with the least hashes of a column; all if there are fewer. Tasks send few rows that aren't among them."""
+    total = df.count()
+    part = min(1.0, (n + 4 * n**0.5) / max(1, total))
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    return (df if part == 1 else df.filter(h < F.lit(int(part * (1 << 40))))).orderBy(h, key).limit(n)
+
+
+def frequent(counts: DataFrame, count: str, n: int) -> DataFrame:
+    """Rows with the largest counts, as many as fit in n without splitting rows of equal counts. Nothing is sorted but the levels of counts, at most a million."""
+    level = F.least(F.col(count), F.lit(1_000_000))
+    least, room = 1 << 62, n
+    for r in counts.groupBy(level.alias("_level")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_level")).toLocalIterator():
+        room -= r["_n"]
+        if room < 0:
+            break
+        least = r["_level"]
+    return counts.filter(F.col(count) >= least)
+
+
 def join_small(rows: DataFrame, small: DataFrame, key: str, how: str = "left", bound: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Join rows, whose keys may be hot, with a table that has one row for each key.
 

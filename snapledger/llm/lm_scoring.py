@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lm, words
-from .common import kept
+from .common import frequent, kept
 
 #: Stands for the end among hashes of words.
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
@@ -184,14 +184,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", scoring: Sc
     counted = kept(_counted(training, spark.sparkContext.broadcast((net, of)), scoring), "lm-counts")
     counts = kept(counted.filter("kind = 0").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("c")), "lm-words")
     known, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    levels = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).count().orderBy(F.desc("c")).collect()  # a row for each count at most a million
-    least, room = 1 << 62, scoring.frequent
-    for level in levels:
-        room -= level["count"]
-        if room < 0:
-            break
-        least = level["c"]
-    top = counts.filter(F.col("c") >= least).toPandas().sort_values("h")
+    top = frequent(counts, "c", scoring.frequent).toPandas().sort_values("h")
     pairs = counted.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
     a, n = pairs["a"].to_numpy(np.int64), pairs["n"].to_numpy(np.float64)
     table, share = lm.table_of(of, a // lm.SIZE, a % lm.SIZE, n)

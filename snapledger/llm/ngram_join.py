@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, words
-from .common import join_small, kept, packed, unpacked
+from .common import frequent, join_small, kept, packed, unpacked
 from .components import components
 from .occurrence import forest, least_size
 
@@ -265,7 +265,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", join: Join
     described = kept(_described(rows, join), "described")
     documents = described.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), "n")
     recurring = described.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("count"))
-    top = recurring.filter("count >= 3").orderBy(F.desc("count"), "token").limit(join.frequent).toPandas()
+    top = frequent(kept(recurring.filter("count >= 3"), "counts"), "count", join.frequent).toPandas()
     limit = int(join.low * 2**64)
     words_ = bloom.build(kept(_recurring(rows, limit, join), "recurring"), "token", join.filter_bytes, hashed=True)
     order = spark.sparkContext.broadcast(_Order(top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64), words_, limit))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, kept
+from .common import join_small, kept, least_hashed
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -210,8 +210,8 @@ def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     again = large.join(last, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
     again = kept(again.select(pair, "refers_to").distinct(), "revisits")
     marked = join_small(rows.withColumn("_pair", pair), again, "_pair", salts=1)
-    sample = rows.orderBy(F.xxhash64("page_id"), "digest").limit(SAMPLE).select(F.substring("payload", 1, SAMPLE_BYTES)).collect()
-    dictionary = train([bytes(r[0]) for r in sample if r[0]])
+    sample = least_hashed(rows.select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")), "page_id", SAMPLE).select("payload").collect()
+    dictionary = train(sorted(bytes(r[0]) for r in sample if r[0]))
 
     def write(batches):
         writer, n = Writer(dictionary, archive_bytes), 0

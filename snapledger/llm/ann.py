@@ -3,7 +3,7 @@
 Centroids come from halving a bounded sample again and again, so all lists start equal. Every vector goes to the list
 of its nearest centroid and, if it lies near a boundary, to further lists whose centroids are nearly as near and not
 closer to a chosen one than to the vector. Centroids are found by best-first search in an in-memory graph. A query reads the lists whose
-centroids are within a ratio of the nearest one's distance. Long lists are dealt over chunks, so a vector that holds a
+centroids are within a ratio of the nearest one's distance, a quarter of all lists at most, however many there are. Long lists are dealt over chunks, so a vector that holds a
 third of all rows is no task's burden; scores are exact, in double precision, on the original vectors.
 """
 
@@ -24,7 +24,7 @@ from .common import kept, least_hashed
 class Index:
     """sample: vectors the centroids are fitted on, those with the least hashes. rows: a list should hold. centroids: at
     most. copies, spread: a vector goes to at most so many lists, within so many times the nearest distance. probes, ratio: the same for
-    a query's lists. degree, beam: of the graph and its search. chunk: rows of a list that one task holds."""
+    a query's lists, but at most a ``share`` of all lists where that is more than probes. degree, beam: of the graph and its search. chunk: rows of a list that one task holds."""
 
     sample: int = 16_384
     rows: int = 64
@@ -32,7 +32,8 @@ class Index:
     copies: int = 4
     spread: float = 1.2
     probes: int = 64
-    ratio: float = 1.3
+    share: float = 0.25
+    ratio: float = 1.6
     degree: int = 24
     beam: int = 96
     chunk: int = 4_096
@@ -81,6 +82,12 @@ class Graph:
         self.entries = rng.permutation(n)[: min(n, 32)]
         self.beam = min(beam, n)
 
+    def every(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` nearest centroids of each row of x and their distances on the unit sphere, nearest first; all centroids are compared."""
+        sims = x.astype(np.float32) @ self.c.T
+        ids = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+        return ids, np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, ids, 1), 0))
+
     def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` best centroids found for each row of x and their distances on the unit sphere, nearest first."""
         x, n = x.astype(np.float32), len(self.c)
@@ -122,7 +129,7 @@ class Graph:
         """Rows of x and the lists they go to: those within ``ratio`` of the nearest distance; ``apart`` leaves out centroids that lie nearer to a chosen one than to the row."""
         of, to = [], []
         for i in range(0, len(x), 512):
-            ids, far = self.search(x[i : i + 512])
+            ids, far = self.search(x[i : i + 512]) if most <= self.beam // 2 else self.every(x[i : i + 512], most)
             m, k = ids.shape
             chosen = np.zeros((m, k), bool)
             chosen[:, 0] = True
@@ -206,7 +213,7 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
 
     posting = "list long, id long, v array<double>"
     lists = kept(rows.mapInPandas(assign(index.copies, index.spread, True), posting), "ann-lists")
-    asked = rows.filter(queries).distinct().mapInPandas(assign(index.probes, index.ratio, False), posting)
+    asked = rows.filter(queries).distinct().mapInPandas(assign(max(index.probes, int(leaves * index.share)), index.ratio, False), posting)
     chunks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(index.chunk)).cast("int").alias("chunks"))  # a row for each centroid at most
     chunks = F.broadcast(chunks)
     dealt = lists.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")

@@ -76,3 +76,16 @@ def test_recall(spark, sf):
         total += 5
     assert len(got) == (ids % 50 == 0).sum() and found / total >= 0.9, found / total
     print(sf, "recall", found / total)
+
+
+def test_recall_holds_with_all_lists(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(16_384, 32)).tolist())]
+    got = run(spark, rows, "id % 200 = 0", index=ann.Index(rows=8))  # 2,048 lists
+    x = ann.unit(np.float32([v for _, v in rows]))
+    found = 0
+    for q, near in got.items():
+        s = x @ x[q]
+        s[q] = -2
+        found += len({i for i, _ in near} & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert len(got) == 82 and found / (5 * len(got)) >= 0.98, found / (5 * len(got))

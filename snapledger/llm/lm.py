@@ -21,6 +21,8 @@ CLASSES = 64
 #: Buckets for the subword before, and what stands for it before a word's first subword.
 BEFORE = 192
 START = BEFORE
+#: Buckets on each side for what stands around a subword, by which classes are found.
+AROUND = 96
 WINDOW, STRIDE = 32, 28
 WIDTH, HIDDEN = 16, 32
 #: Share of a class's probability that comes from its frequency, and weight of a subword's frequency in its class against counts in place.
@@ -255,26 +257,27 @@ class Model:
         return u
 
 
-def classes(ids: np.ndarray, first: np.ndarray, rounds: int = 12, seed: int = 9) -> np.ndarray:
-    """A class for each id, by k-means on what stands before and after it in a sample; ids that the sample lacks share the last class."""
-    width = 96
-    if not len(ids):
-        return np.full(SIZE, CLASSES - 1, np.int64)
+def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of texts that lie one after another, id * 2 * AROUND + bucket for each neighbour within the text: before the id in the lower half of buckets, after it in the upper."""
     inner = np.ones(len(ids), bool)
     inner[first[:-1][np.diff(first) > 0]] = False
-    a, b = ids[:-1][inner[1:]], ids[1:][inner[1:]]
-    bucket = lambda i: (i.astype(np.int64) * 2_654_435_761 >> 7) % width
-    own, back = np.unique(ids, return_inverse=True)
+    a, b = ids[:-1][inner[1:]].astype(np.int64), ids[1:][inner[1:]].astype(np.int64)
+    bucket = lambda i: (i * 2_654_435_761 >> 7) % AROUND
+    return np.concatenate([b * 2 * AROUND + bucket(a), a * 2 * AROUND + AROUND + bucket(b)])
+
+
+def classes(around: np.ndarray, n: np.ndarray, counts: np.ndarray, rounds: int = 12, seed: int = 9) -> np.ndarray:
+    """A class for each id, by k-means on how often (n) contexts stand around it and how often it stands itself; ids that never stand share the last class."""
+    own = np.flatnonzero(counts)
     place = np.full(SIZE, -1)
     place[own] = np.arange(len(own))
-    f = np.zeros((len(own), 2 * width), np.float32)
-    np.add.at(f, (place[b], bucket(a)), 1)
-    np.add.at(f, (place[a], width + bucket(b)), 1)
-    weight = np.bincount(back, minlength=len(own)).astype(np.float32)
-    f = np.sqrt((f + 0.05 * f.mean(0)) / np.maximum(f.sum(1, keepdims=True), 1))
-    f /= np.maximum(np.sqrt((f**2).sum(1, keepdims=True)), 1e-9)
+    f = np.zeros((len(own), 2 * AROUND), np.float32)
+    f[place[around // (2 * AROUND)], around % (2 * AROUND)] = n
+    weight = counts[own].astype(np.float32)
     out = np.full(SIZE, CLASSES - 1, np.int64)
     if len(own):
+        f = np.sqrt((f + 0.05 * f.mean(0)) / np.maximum(f.sum(1, keepdims=True), 1))
+        f /= np.maximum(np.sqrt((f**2).sum(1, keepdims=True)), 1e-9)
         rng = np.random.default_rng(seed)
         n = min(CLASSES - 1, len(own))
         center = f[rng.choice(len(own), n, replace=False, p=np.sqrt(weight) / np.sqrt(weight).sum())]

@@ -25,14 +25,13 @@ SLICES = 16
 @dataclass(frozen=True)
 class Scoring:
     """vocabulary: file of a public vocabulary; none for that of the installed package. folds, held_out: of crc32 of the key. frequent: most words that are sent. start: documents, chosen by hash, on
-    which classes and first weights are fitted, about. part: of one in so many training documents windows train the weights further, in every partition."""
+    which first weights are fitted, about."""
 
     vocabulary: str | None = None
     folds: int = 7
     held_out: int = 2
     frequent: int = 500_000
     start: int = 1_200
-    part: int = 48
 
 
 def _path(scoring: Scoring) -> str:
@@ -64,8 +63,8 @@ def _training(ids: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.nd
     return x, of[ids[np.maximum(target, 0)]], target >= 0
 
 
-def _started(rows: DataFrame, total: int, scoring: Scoring) -> tuple[lm.Net, np.ndarray]:
-    """Classes and first weights from a bounded sample of training texts."""
+def _started(rows: DataFrame, total: int, of: np.ndarray, scoring: Scoring) -> lm.Net:
+    """First weights from a bounded sample of training texts."""
     part = int(min(1.0, scoring.start / max(1, total)) * (1 << 30))
     some = rows.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < part).select(F.substring("text", 1, 20_000).alias("text")).limit(2 * scoring.start)
     texts = sorted(r["text"] or "" for r in some.collect())
@@ -75,21 +74,17 @@ def _started(rows: DataFrame, total: int, scoring: Scoring) -> tuple[lm.Net, np.
         parts.append(ids)
         at += (first[1:] + at[-1]).tolist()
     ids, first = np.concatenate(parts), np.array(at)
-    of = lm.classes(ids, first)
     net = lm.Net.fresh()
     net.train(*_training(ids, first, of), rounds=3, rate=0.01)
-    return net, of
+    return net
 
 
-def _counted(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
-    """Rows of three kinds from training texts: 0 words (hash, count), 1 subwords (before * SIZE + id, count), 2 slices of weights trained further in this partition (slice, windows, bytes)."""
+def _counted(rows: DataFrame, scoring: Scoring) -> DataFrame:
+    """Counts of three kinds from training texts: 0 words (hash), 1 subwords (before * SIZE + id), 2 contexts of subwords (as lm.contexts gives them)."""
 
     def run(batches):
-        net, of = start.value
-        net = lm.Net(*[p.copy() for p in net.parts()])
         subwords = lm.Subwords(_path(scoring))
-        seen, trained, ends = np.zeros((lm.BEFORE + 1) * lm.SIZE, np.int32), 0, 0
-        none = lambda n: pa.nulls(n, pa.binary())
+        seen, around, ends = np.zeros((lm.BEFORE + 1) * lm.SIZE, np.int32), np.zeros(2 * lm.AROUND * lm.SIZE, np.int32), 0
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
@@ -97,58 +92,64 @@ def _counted(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
             h, back = np.unique(np.concatenate(hashes), return_inverse=True)
             return h, np.bincount(back, np.concatenate(counts), len(h)).astype(np.int64)
 
-        def out(h, n):
-            for i in range(0, len(h), 500_000):
-                yield _rows(kind=np.zeros(len(h[i : i + 500_000]), np.int8), a=h[i : i + 500_000].view(np.int64), n=n[i : i + 500_000], data=none(len(h[i : i + 500_000])))
+        def out(kind, a, n):
+            for i in range(0, len(a), 500_000):
+                yield _rows(kind=np.full(len(a[i : i + 500_000]), kind, np.int8), a=a[i : i + 500_000].view(np.int64), n=n[i : i + 500_000].astype(np.int64))
 
         for batch in batches:
-            chosen = batch.column(1).to_numpy(zero_copy_only=False)
             for begin, end, found in words.blocks(batch.column(0), 2 << 20):
                 h = found.hashes()
-                own, at, back = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(back, minlength=len(own)) if len(h) else np.empty(0, np.int64)
+                own, n = np.unique(h, return_counts=True)
                 hashes.append(own)
                 counts.append(n)
                 ends += end - begin
-                # subwords by distinct word, times the word's count
-                cut, first = subwords.cut(own, lambda i, at=at, found=found: found.data[found.starts[at[i]] : found.ends[at[i]]].tobytes())
-                before = np.full(len(cut), lm.START)
-                inner = np.ones(len(cut), bool)
-                inner[first[:-1][np.diff(first) > 0]] = False
-                before[inner] = lm.bucket_of(cut[np.flatnonzero(inner) - 1])
-                np.add.at(seen, before * lm.SIZE + cut, np.repeat(n, np.diff(first)))
-                for i in np.flatnonzero(chosen[begin:end]):
-                    a, b = found.first[i], found.first[i + 1]
-                    one = words.Words(found.raw, found.data, found.starts[a:b], found.ends[a:b], np.array([0, b - a]))
-                    ids, _, text_first = _ids(one, subwords, h[a:b])
-                    x, y, on = _training(ids, text_first, of)
-                    net.train(x, y, on, rounds=1, rate=0.002)
-                    trained += len(x)
+                ids, begins, first = _ids(found, subwords, h)
+                before = np.full(len(ids), lm.START)
+                inner = np.flatnonzero(~begins)
+                before[inner] = lm.bucket_of(ids[inner - 1])
+                np.add.at(seen, before * lm.SIZE + ids, 1)
+                np.add.at(around, lm.contexts(ids, first), 1)
                 if sum(map(len, hashes)) > 2_000_000:
                     h, n = merged()
                     if len(h) > 1_200_000:
-                        yield from out(h, n)
+                        yield from out(0, h, n)
                         hashes, counts = [], []
                     else:
                         hashes, counts = [h], [n]
         if ends:
-            seen[lm.START * lm.SIZE + lm.END] += ends
             hashes.append(np.array([END_WORD]))
             counts.append(np.array([ends]))
         if hashes:
-            yield from out(*merged())
-        own = np.flatnonzero(seen)
-        yield _rows(kind=np.ones(len(own), np.int8), a=own, n=seen[own].astype(np.int64), data=none(len(own)))
+            yield from out(0, *merged())
+        for kind, table in ((1, seen), (2, around)):
+            own = np.flatnonzero(table)
+            yield from out(kind, own, table[own])
+
+    return rows.select("text").mapInArrow(run, "kind tinyint, a long, n long")
+
+
+def _trained(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
+    """Slices of weights that windows of all training texts of a partition have trained further (slice, windows, bytes)."""
+
+    def run(batches):
+        net, of = start.value
+        net = lm.Net(*[p.copy() for p in net.parts()])
+        subwords, trained = lm.Subwords(_path(scoring)), 0
+        for batch in batches:
+            for _, _, found in words.blocks(batch.column(0), 1 << 20):
+                ids, _, first = _ids(found, subwords, found.hashes())
+                x, y, on = _training(ids, first, of)
+                net.train(x, y, on, rounds=1, rate=0.002)
+                trained += len(x)
         if trained:
             flat = np.concatenate([p.ravel() for p in net.parts()])
             for k, piece in enumerate(np.array_split(flat, SLICES)):
-                yield _rows(kind=np.array([2], np.int8), a=np.array([k]), n=np.array([trained]), data=pa.array([piece.tobytes()], pa.binary()))
+                yield _rows(a=np.array([k]), n=np.array([trained]), data=pa.array([piece.tobytes()], pa.binary()))
 
-    chosen = F.pmod(F.crc32(F.coalesce(F.col("key"), F.lit("")).cast("binary")), F.lit(scoring.folds * scoring.part)) == 0
-    return rows.select("text", chosen.alias("chosen")).mapInArrow(run, "kind tinyint, a long, n long, data binary")
+    return rows.select("text").mapInArrow(run, "a long, n long, data binary")
 
 
-def _averaged(counted: DataFrame, net: lm.Net) -> lm.Net:
+def _averaged(trained: DataFrame, net: lm.Net) -> lm.Net:
     """The mean of the partitions' weights, by windows; averaged by executors, a slice at a time."""
 
     def mean(batches):
@@ -159,7 +160,7 @@ def _averaged(counted: DataFrame, net: lm.Net) -> lm.Net:
                 sums[k] = (total + np.frombuffer(data, np.float32).astype(np.float64) * n, weight + n)
         yield pd.DataFrame({"k": list(sums), "data": [(t / w).astype(np.float32).tobytes() for t, w in sums.values()]})
 
-    slices = counted.filter("kind = 2").select("a", "n", "data").repartition(SLICES, "a").mapInPandas(mean, "k long, data binary").orderBy("k").collect()
+    slices = trained.repartition(SLICES, "a").mapInPandas(mean, "k long, data binary").orderBy("k").collect()
     if not slices:
         return net
     flat, at, parts = np.concatenate([np.frombuffer(r["data"], np.float32) for r in slices]), 0, []
@@ -180,15 +181,21 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", scoring: Sc
     fold = F.crc32(text_key.cast("binary")) % scoring.folds
     rows = docs.select(F.col(f"`{key}`").alias("id"), text_key.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), (fold == scoring.held_out).alias("held_out"))
     training = rows.filter(~F.col("held_out"))
-    net, of = _started(training, training.count(), scoring)
-    counted = kept(_counted(training, spark.sparkContext.broadcast((net, of)), scoring), "lm-counts")
+    counted = kept(_counted(training, scoring), "lm-counts")
     counts = kept(counted.filter("kind = 0").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("c")), "lm-words")
     known, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = frequent(counts, "c", scoring.frequent).toPandas().sort_values("h")
-    pairs = counted.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
-    a, n = pairs["a"].to_numpy(np.int64), pairs["n"].to_numpy(np.float64)
+
+    def summed(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        pairs = counted.filter(F.col("kind") == kind).groupBy("a").agg(F.sum("n").alias("n")).toPandas()
+        return pairs["a"].to_numpy(np.int64), pairs["n"].to_numpy(np.float64)
+
+    a, n = summed(1)
+    of = lm.classes(*summed(2), np.bincount(a % lm.SIZE, n, lm.SIZE))
+    net = _started(training, training.count(), of, scoring)
+    trained = kept(_trained(training, spark.sparkContext.broadcast((net, of)), scoring), "lm-weights")
     table, share = lm.table_of(of, a // lm.SIZE, a % lm.SIZE, n)
-    model = lm.Model(_averaged(counted, net), of, table, share)
+    model = lm.Model(_averaged(trained, net), of, table, share)
     logs = np.log10((top["c"].to_numpy(np.float64) + 1) / (total + known + 1.0))
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast((model, top["h"].to_numpy(np.int64).view(np.uint64)[order], logs[order]))

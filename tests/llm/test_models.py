@@ -137,3 +137,27 @@ def test_model_beats_words_it_doesnt_know(spark):
     """On held-out documents the model's loss a token is near the base's although many words are unknown; and it has learnt: class order beats frequency."""
     got = lm_scoring.scored(spark.read.parquet(f"{DATA}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] / got[1] < 1.05
+
+
+def test_every_training_text_trains(spark):
+    """Subwords that one text of many holds alone get a class of their own, and windows of all texts train."""
+    rows = spark.createDataFrame([(f"plain words of text {i}",) for i in range(40)] + [("zebra quartz " * 20,)], "text string").repartition(2)
+    pairs = lm_scoring._counted(rows, Scoring()).filter("kind = 2").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
+    seen = lm_scoring._counted(rows, Scoring()).filter("kind = 1").selectExpr(f"a % {lm.SIZE} as id", "n").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(lm.SIZE)
+    counts[seen["id"]] = seen["n"]
+    of = lm.classes(pairs["a"].to_numpy(), pairs["n"].to_numpy(), counts)
+    assert (of[counts > 0] < lm.CLASSES - 1).all() and (of[counts == 0] == lm.CLASSES - 1).all()
+    net = lm_scoring._started(rows.filter("text like 'plain%'"), 40, of, Scoring(start=1))
+    trained = lm_scoring._trained(rows, spark.sparkContext.broadcast((net, of)), Scoring()).filter("a = 0").agg(F.sum("n")).first()[0]
+    ids = sum(-(-max(0, len(_cut(r["text"])) + 1 - lm.WINDOW) // lm.STRIDE) + 1 for r in rows.collect())
+    assert trained == ids
+
+
+def _cut(text):
+    import pyarrow as pa
+
+    from snapledger.llm import words
+
+    (found,) = [w for _, _, w in words.blocks(pa.array([text]))]
+    return lm_scoring._ids(found, lm.Subwords(lm_scoring._path(Scoring())), found.hashes())[0][:-1]

@@ -85,6 +85,12 @@ def test_windows_score_each_place_once():
                     assert w[place] == (lm.END if to == first[k] else ids[to - 1])
 
 
+def test_later_windows_see_what_stands_before():
+    """The first scored place of every window after the first has 9 ids before it at least."""
+    x, target, _ = lm.windows(np.arange(500) % 400, np.array([0, 500]))
+    assert all(np.flatnonzero(t >= 0)[0] >= 8 for t in target[1:])
+
+
 def test_probabilities_sum_to_one_and_dont_see_ahead():
     rng = np.random.default_rng(3)
     of = rng.integers(0, lm.CLASSES, lm.SIZE)

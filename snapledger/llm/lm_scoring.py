@@ -25,13 +25,14 @@ SLICES = 16
 @dataclass(frozen=True)
 class Scoring:
     """vocabulary: file of a public vocabulary; none for that of the installed package. folds, held_out: of crc32 of the key. frequent: most words that are sent. start: documents, chosen by hash, on
-    which first weights are fitted, about."""
+    which first weights are fitted, about; fewer, but one at least, if their texts, never cut, have more ``characters``."""
 
     vocabulary: str | None = None
     folds: int = 7
     held_out: int = 2
     frequent: int = 500_000
     start: int = 1_200
+    characters: int = 16_000_000
 
 
 def _path(scoring: Scoring) -> str:
@@ -66,8 +67,15 @@ def _training(ids: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.nd
 def _started(rows: DataFrame, total: int, of: np.ndarray, scoring: Scoring) -> lm.Net:
     """First weights from a bounded sample of training texts."""
     part = int(min(1.0, scoring.start / max(1, total)) * (1 << 30))
-    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < part).select(F.substring("text", 1, 20_000).alias("text")).limit(2 * scoring.start)
-    texts = sorted(r["text"] or "" for r in some.collect())
+    h = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30))
+    some = rows.select("text", h.alias("h")).filter(F.col("h") < part)
+    room, last = scoring.characters, -1
+    for r in some.groupBy("h").agg(F.max(F.length("text")).alias("n")).orderBy("h").limit(2 * scoring.start).collect():
+        room -= r["n"]
+        if room < 0 <= last:
+            break
+        last = r["h"]
+    texts = sorted(r["text"] for r in some.filter(F.col("h") <= last).select("text").distinct().collect())
     subwords, parts, at = lm.Subwords(_path(scoring)), [np.empty(0, np.int64)], [0]
     for _, _, found in words.blocks(pa.array(texts, pa.string())):
         ids, _, first = _ids(found, subwords, found.hashes())

@@ -160,6 +160,18 @@ def test_every_training_text_trains(spark):
     assert trained == ids
 
 
+def test_first_weights_come_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Net, "train", lambda self, x, *_, **__: seen.append((x != lm.END).sum()))
+    texts = [f"word{i} " * 5_000 + "quartz" for i in range(6)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    lm_scoring._started(rows, 6, np.zeros(lm.SIZE, np.int64), Scoring())
+    lm_scoring._started(rows, 6, np.zeros(lm.SIZE, np.int64), Scoring(characters=70_000))  # two texts fit, none is cut
+    lm_scoring._started(rows, 6, np.zeros(lm.SIZE, np.int64), Scoring(characters=10))
+    ids = [len(_cut(t)) for t in texts]
+    assert seen[0] >= sum(ids) and 2 * min(ids) <= seen[1] < 3 * min(ids) * 4 / 3 and min(ids) <= seen[2] < 2 * min(ids)
+
+
 def _cut(text):
     import pyarrow as pa
 

@@ -169,7 +169,10 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     norm = lambda a: np.sqrt((a * a).sum(1))
     near = unit(q) @ unit(x).T
     near[q_ids[:, None] == ids[None, :]] = -np.inf
-    kth = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    of_id = near if len(first) == len(ids) else np.maximum.reduceat(near[:, order], first, axis=1)  # an id's nearest row stands for it
+    kth = np.partition(of_id, max(0, of_id.shape[1] - k), axis=1)[:, max(0, of_id.shape[1] - k)]
     r, c = np.nonzero((near >= kth[:, None] - 1e-9) & np.isfinite(near))
     score = np.empty(len(r))
     for i in range(0, len(r), 65_536):
@@ -192,7 +195,7 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
     table gives none. Other columns are ignored.
     """
     spark = embeddings.sparkSession
-    rows = usable(embeddings, key, vector)
+    rows = kept(usable(embeddings, key, vector).distinct(), "ann-rows")
     sample = least_hashed(rows, "id", index.sample).select("v").collect()
     total = rows.count() if len(sample) == index.sample else len(sample)
     if not total:
@@ -213,10 +216,10 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
 
     posting = "list long, id long, v array<double>"
     lists = kept(rows.mapInPandas(assign(index.copies, index.spread, True), posting), "ann-lists")
-    asked = rows.filter(queries).distinct().mapInPandas(assign(max(index.probes, int(leaves * index.share)), index.ratio, False), posting)
+    asked = rows.filter(queries).mapInPandas(assign(max(index.probes, int(leaves * index.share)), index.ratio, False), posting)
     chunks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(index.chunk)).cast("int").alias("chunks"))  # a row for each centroid at most
     chunks = F.broadcast(chunks)
-    dealt = lists.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
+    dealt = lists.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.col("chunks")).cast("int")).drop("chunks")
     spread = asked.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

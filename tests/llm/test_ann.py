@@ -78,6 +78,14 @@ def test_recall(spark, sf):
     print(sf, "recall", found / total)
 
 
+def test_repeated_ids_leave_room_for_others(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    rows = rows * 3 + [(7, [x + 1e-3 * j for x in rows[0][1]]) for j in range(1, 8)]  # and one id with many vectors near a query's
+    got, wanted = run(spark, rows, "id % 20 = 0"), brute(rows, lambda i: i % 20 == 0)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in wanted.items()}
+
+
 def test_recall_holds_with_all_lists(spark):
     rng = np.random.default_rng(6)
     rows = [(i, v) for i, v in enumerate(rng.normal(size=(16_384, 32)).tolist())]

@@ -183,7 +183,7 @@ def _each(texts: pa.Array):
 
 
 def fitted(docs: DataFrame, text: str = "text", fit: Fit = Fit()) -> Model:
-    """The model of docs. Votes of all documents are counted; about ``fit.sample`` documents, chosen by hash, train the scorer. No documents give a model that keeps everything with words."""
+    """The model of docs. Votes of all documents are counted; about ``fit.sample`` distinct texts, chosen by hash, train the scorer. No documents give a model that keeps everything with words."""
     rows = docs.select(F.col(f"`{text}`").alias("text"))
 
     def vote(batches):
@@ -209,8 +209,10 @@ def fitted(docs: DataFrame, text: str = "text", fit: Fit = Fit()) -> Model:
 
     total = int(counts.sum())
     part = min(1.0, fit.sample / max(1, total))
-    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(fit.seed)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
-    got = some.mapInArrow(sampled, "pattern long, x binary").limit(2 * fit.sample).toPandas().sort_values(["pattern", "x"])
+    h = F.pmod(F.xxhash64("text", F.lit(fit.seed)), F.lit(1 << 30))
+    some = rows.select("text", h.alias("h")).filter(F.col("h") < F.lit(int(part * (1 << 30)))).distinct()  # a text counts once, however many rows hold it
+    some = some.orderBy("h", "text").limit(2 * fit.sample).select("text").repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    got = some.mapInArrow(sampled, "pattern long, x binary").toPandas().sort_values(["pattern", "x"])
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32) if len(got) else np.empty((0, BUCKETS), np.float32)
     y = np.array([posterior[p] for p in got["pattern"]], np.float32)
     weights, bias = train(x, y, fit)

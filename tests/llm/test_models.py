@@ -33,6 +33,21 @@ def test_quality_odd_rows(spark):
     assert quality.scored(df.limit(0)).collect() == []
 
 
+def test_copies_of_a_text_dont_crowd_others_out(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "train", lambda x, y, fit: (sizes.append(len(x)), (np.zeros(x.shape[1], np.float32), 0.0))[1])
+    texts = ["the same text again"] * 300 + [f"other{i} words stand{i * 7} here" for i in range(30)]
+    quality.fitted(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), fit=quality.Fit(sample=330))
+    hot = next(s for s in range(1000) if _hash(spark, "the same text again", s) < 0.05)
+    quality.fitted(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), fit=quality.Fit(sample=100, seed=hot))
+    others = sum(_hash(spark, t, hot) < 100 / 330 for t in texts[300:])
+    assert sizes == [31, 1 + others]
+
+
+def _hash(spark, text, seed):
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(text), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).first()[0]
+
+
 def test_em_finds_planted_accuracies():
     rng = np.random.default_rng(1)
     good = rng.random(20_000) < 0.8

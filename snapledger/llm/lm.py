@@ -1,9 +1,11 @@
 """A small causal self-attention language model in numpy on subword ids.
 
-A text is its words, lower-cased, cut into subwords by a public vocabulary, and one end. The model gives the next
-subword's class from the subwords before it, by one layer of self-attention, and the subword given its class and a
-hash of what stands before it in the word, from counts over all training texts. Long texts are scored in overlapping windows: every
-window after the first scores only what the one before hasn't.
+A text is its words, lower-cased, cut into subwords by a public vocabulary, and one end. From the subwords before it the
+model gives the next subword's class, and the subword within that class: two softmaxes, each of a prior's logarithm plus the
+output of one layer of causal self-attention. The prior is a table of counts of pairs over all training texts, so
+the net, which starts at nothing, learns what the pair doesn't say. The two levels are exact, for every subword has one class, and cost
+about twice the root of the vocabulary instead of all of it. Long texts are scored in overlapping windows: every window after the
+first scores only what the one before hasn't.
 """
 
 from __future__ import annotations
@@ -17,16 +19,10 @@ import numpy as np
 #: Ids of the vocabulary, then the end of a text, which also stands before its beginning.
 END = 50_256
 SIZE = 50_257
-CLASSES = 64
-#: Buckets for the subword before, and what stands for it before a word's first subword.
-BEFORE = 192
-START = BEFORE
-#: Buckets on each side for what stands around a subword, by which classes are found.
-AROUND = 96
 WINDOW, STRIDE = 32, 24
-WIDTH, HIDDEN = 16, 32
-#: Share of a class's probability that comes from its frequency, and weight of a subword's frequency in its class against counts in place.
-FLOOR, PRIOR = 0.02, 8.0
+WIDTH, HIDDEN = 24, 32
+#: Cells of the prior's table: rows for what stands before, columns for what follows. PRIOR: weight of a subword's frequency against a row's counts.
+TABLE, PRIOR = 4_000_000, 8.0
 
 
 #: White space beyond ASCII's, which the vocabulary's pattern splits at; such words are cut one by one.
@@ -93,213 +89,276 @@ class Subwords:
         return self.pool[np.repeat(self.begin[where] - first[:-1], counts) + np.arange(first[-1])], first
 
 
+def windows(ids: np.ndarray, first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of texts that lie one after another, as matrices: the ids before each place, and the place of what is to be scored (-1: nothing). A text's ids are each scored once; what a window shares with the one before is context only."""
+    n = np.diff(first)
+    count = np.where(n <= WINDOW, 1, 1 + -(-(n - WINDOW) // stride)) * (n > 0)
+    of = np.repeat(np.arange(len(n)), count)
+    k = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+    step = np.arange(WINDOW, dtype=np.int32)[None, :]
+    place = k[:, None] * np.int32(stride) + step
+    inside = place < n[of].astype(np.int32)[:, None]
+    start = first[of].astype(np.int32)[:, None]
+    x = ids.astype(np.int32).take(np.where(inside & (place > 0), place + start - 1, 0))
+    x[~inside | (place == 0)] = END
+    inside &= (k[:, None] == 0) | (step >= WINDOW - stride)
+    return x, np.where(inside, place + start, np.int32(-1))
+
+
+@dataclass
+class Lexicon:
+    """The ids that training texts hold, in classes. ``place`` of an id is its position in order of class; all ids that training lacks share one place. ``row``: by place, the row of the prior for what follows it; ``begin``: where
+    classes begin among places, and one more at the end; ``of``: the class of a place; ``lacking``: how many ids share the place of those that training lacks."""
+
+    place: np.ndarray
+    row: np.ndarray
+    rows: int
+    begin: np.ndarray
+    of: np.ndarray
+    lacking: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.of)
+
+
+def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """From counts by id: the rank of each by frequency (ids that never stand share the last), rows by rank, and how many rows there are. Ranks beyond what the table has room for share rows."""
+    known = np.flatnonzero(counts)
+    order = known[np.lexsort((known, -counts[known]))]
+    rank = np.full(SIZE, len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    size = len(order) + 1
+    rows = max(1, min(size, TABLE // size))
+    shared = rows // 4 + 1 if rows < size else 0
+    at = np.arange(size)
+    return rank, np.where(at < rows - shared, at, rows - shared + at % max(1, shared)), rows
+
+
+def pairs(rank: np.ndarray, row: np.ndarray, rows: int, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts of (row of the id before, rank) in texts that lie one after another, an END before each."""
+    before = np.r_[END, ids[:-1]]
+    before[first[:-1][np.diff(first) > 0]] = END
+    return np.bincount(row[rank[before]] * len(row) + rank[ids], minlength=rows * len(row))
+
+
+def lexicon(rank: np.ndarray, row: np.ndarray, counts: np.ndarray, rounds: int = 8, seed: int = 9) -> tuple[Lexicon, np.ndarray]:
+    """Classes by k-means on what stands before each id, about as many as the root of the number of ids; and log P(id | row) by place, smoothed.
+
+    counts: of (row, rank).
+    """
+    size, rows = len(row), counts.shape[0]
+    alone = counts.sum(0, dtype=np.float64) + 0.02
+    prior = counts + (PRIOR * alone / alone.sum()).astype(np.float32)
+    prior /= prior.sum(1, keepdims=True)
+    f = np.sqrt(counts / np.maximum(counts.sum(0), 1)).T
+    f /= np.maximum(np.sqrt((f * f).sum(1, keepdims=True)), 1e-9)
+    weight = np.sqrt(alone).astype(np.float32)
+    n = max(1, round(size**0.5))
+    center = f[np.random.default_rng(seed).choice(size, n, replace=False, p=weight / weight.sum(dtype=np.float64))]
+    for _ in range(rounds):
+        to = np.argmax(f @ center.T, 1)
+        for c in range(n):
+            mine = to == c
+            if mine.any():
+                m = weight[mine] @ f[mine]
+                center[c] = m / max(float(np.sqrt(m @ m)), 1e-9)
+    to = np.unique(np.argmax(f @ center.T, 1), return_inverse=True)[1]
+    order = np.lexsort((np.arange(size), to))
+    to_place = np.empty(size, np.int64)
+    to_place[order] = np.arange(size)
+    sizes = np.bincount(to)
+    return Lexicon(to_place[rank], row[order], rows, np.r_[0, np.cumsum(sizes)], to[order], np.where(order == size - 1, max(1, int((rank == size - 1).sum())), 1)), np.log(prior[:, order])
+
+
 @dataclass
 class Net:
-    """Weights: embeddings, places, query, key, value, hidden layer, and output to classes."""
+    """Weights: embeddings of places in the lexicon, of positions in a window; query, key and value side by side; hidden layer; output to classes, and to places within their class."""
 
     e: np.ndarray
     p: np.ndarray
-    q: np.ndarray
-    k: np.ndarray
-    v: np.ndarray
+    a: np.ndarray
     w: np.ndarray
     c: np.ndarray
     o: np.ndarray
-    b: np.ndarray
+    r: np.ndarray
 
     @staticmethod
-    def fresh(seed: int = 5) -> Net:
+    def fresh(lex: Lexicon, seed: int = 5) -> Net:
+        """Random but for the output, which starts at nothing: so the model starts as its prior."""
         rng = np.random.default_rng(seed)
-        g = lambda *s: (rng.normal(size=s) * 0.3 / np.sqrt(s[0] if len(s) > 1 and s[0] < 100 else 1)).astype(np.float32)
-        return Net(g(SIZE, WIDTH), g(WINDOW, WIDTH), g(WIDTH, WIDTH), g(WIDTH, WIDTH), g(WIDTH, WIDTH), g(2 * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), g(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32))
+        g = lambda scale, *s: (rng.normal(size=s) * scale).astype(np.float32)
+        zero = lambda *s: np.zeros(s, np.float32)
+        return Net(g(0.3, lex.size, WIDTH), g(0.1, WINDOW, WIDTH), g(0.3 * WIDTH**-0.5, WIDTH, 3 * WIDTH), g(0.45 * WIDTH**-0.5, 3 * WIDTH, HIDDEN), zero(HIDDEN), zero(HIDDEN, len(lex.begin) - 1), zero(lex.size, HIDDEN))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.e, self.p, self.q, self.k, self.v, self.w, self.c, self.o, self.b]
+        return [self.e, self.p, self.a, self.w, self.c, self.o, self.r]
 
     def forward(self, x: np.ndarray) -> tuple:
-        """Of windows of ids: all that backward() needs, the last one the classes' logits at each place."""
-        h = self.e[x] + self.p[: x.shape[1]]
-        q, k, v = h @ self.q, h @ self.k, h @ self.v
+        """Of windows of places: all that gradients need, the last one the hidden layer, a row for each position.
+
+        The hidden layer sees the embedding of the subword before, of the one before that, and what attention gathers from all up to here.
+        """
+        m, n = x.shape
+        h = self.e.take(x, axis=0)
+        h += self.p[:n]
+        every = h.reshape(-1, WIDTH) @ self.a
+        q, k, v = (np.ascontiguousarray(every[:, i * WIDTH : (i + 1) * WIDTH]).reshape(m, n, WIDTH) for i in range(3))
+        q *= SCALE
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(WIDTH**-0.5)
-        a += MASK[: x.shape[1], : x.shape[1]]
         np.minimum(a, 30, out=a)
         np.exp(a, out=a)
+        a *= SEEN[:n, :n]
         a /= a.sum(2, keepdims=True)
-        u = np.concatenate([h, np.matmul(a, v)], 2)
-        z = np.maximum(u @ self.w + self.c, 0)
-        return h, q, k, v, a, u, z, z @ self.o + self.b
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[list[np.ndarray], float]:
-        """Of the mean cross-entropy of classes y where ``on``; the embeddings' as rows for x."""
-        h, q, k, v, a, u, z, logits = self.forward(x)
-        logits -= logits.max(2, keepdims=True)
-        soft = np.exp(logits)
-        soft /= soft.sum(2, keepdims=True)
-        m = max(1, int(on.sum()))
-        picked = np.take_along_axis(soft, y[..., None], 2)[..., 0]
-        loss = -float(np.log(np.maximum(picked, 1e-12))[on].sum()) / m
-        np.put_along_axis(soft, y[..., None], picked[..., None] - 1, 2)
-        d = soft * (on[..., None] / np.float32(m))
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        do, db = flat(z).T @ flat(d), flat(d).sum(0)
-        dz = (d @ self.o.T) * (z > 0)
-        dw, dc = flat(u).T @ flat(dz), flat(dz).sum(0)
-        du = dz @ self.w.T
-        dh, dt = du[..., :WIDTH], du[..., WIDTH:]
-        da, dv = np.matmul(dt, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dt)
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        dh = dh + dq @ self.q.T + dk @ self.k.T + dv @ self.v.T
-        return [dh, dh.sum(0), flat(h).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dv), dw, dc, do, db], loss
-
-    def train(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, rounds: int, rate: float, seed: int = 3, batch: int = 128) -> float:
-        """Adam on shuffled windows, in place; the loss of the last round."""
-        rng, loss, step = np.random.default_rng(seed), 0.0, 0
-        means = [np.zeros_like(p) for p in self.parts()[1:]]
-        squares = [np.zeros_like(p) for p in self.parts()[1:]]
-        seen = np.zeros(SIZE, np.float32)
-        total = max(1, rounds * -(-len(x) // batch))
-        for _ in range(rounds):
-            order, losses = rng.permutation(len(x)), []
-            for i in range(0, len(x), batch):
-                own = order[i : i + batch]
-                grads, now = self.gradients(x[own], y[own], on[own])
-                losses.append(now)
-                step += 1
-                lr = rate * (1 - step / (total + 1))
-                for p, g, m, s in zip(self.parts()[1:], grads[1:], means, squares, strict=True):
-                    m += 0.1 * (g[: len(m)] - m)
-                    s += 0.001 * (g[: len(s)] ** 2 - s)
-                    p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-                ids, back = np.unique(x[own], return_inverse=True)
-                g = np.zeros((len(ids), WIDTH), np.float32)
-                np.add.at(g, back.ravel(), grads[0].reshape(-1, WIDTH))
-                seen[ids] += (g**2).mean(1)
-                self.e[ids] -= 3 * lr * g / (np.sqrt(seen[ids])[:, None] + 1e-8)
-            loss = float(np.mean(losses)) if losses else 0.0
-        return loss
-
-
-MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-
-
-def windows(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of texts that lie one after another: the ids before each place, the place of what is to be scored (-1: nothing), as matrices; and each window's text. A text's ids are each scored once."""
-    n = np.diff(first)
-    count = np.where(n <= WINDOW, 1, 1 + -(-(n - WINDOW) // STRIDE)) * (n > 0)
-    of = np.repeat(np.arange(len(n)), count)
-    k = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-    step = np.arange(WINDOW, dtype=np.int32)[None, :]
-    place = k[:, None] * np.int32(STRIDE) + step
-    inside = place < n[of].astype(np.int32)[:, None]
-    start = first[of].astype(np.int32)[:, None]
-    x = ids.astype(np.int32).take(np.where(inside & (place > 0), place + start - 1, 0))
-    x[~inside | (place == 0)] = END
-    inside &= (k[:, None] == 0) | (step >= WINDOW - STRIDE)
-    target = np.where(inside, place + start, np.int32(-1))
-    return x, target, of
+        u = np.empty((m, n, 3 * WIDTH), np.float32)
+        u[..., :WIDTH] = h
+        u[:, 0, WIDTH : 2 * WIDTH] = 0
+        u[:, 1:, WIDTH : 2 * WIDTH] = h[:, :-1]
+        u[..., 2 * WIDTH :] = np.matmul(a, v)
+        z = u.reshape(-1, 3 * WIDTH) @ self.w
+        z += self.c
+        return h, q, k, v, a, u, np.maximum(z, 0, out=z)
 
 
-def bucket_of(ids: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.int64) * 2_654_435_761 >> 9) % BEFORE
+def _softmax(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In place; the log of y's share."""
+    logits -= logits.max(1, keepdims=True)
+    picked = logits[np.arange(len(y)), y]
+    np.exp(logits, out=logits)
+    total = logits.sum(1)
+    logits /= total[:, None]
+    return picked - np.log(total)
 
 
 @dataclass
 class Model:
-    """net, the class of each id, log10 P(id | class, what stands before), and P(class) by frequency."""
+    """P(place | before) = P(class | before) P(place | class, before); each factor is a softmax of the prior's logarithm plus what the net adds."""
 
+    lex: Lexicon
     net: Net
-    of: np.ndarray
-    table: np.ndarray
-    share: np.ndarray
-
-    def score(self, ids: np.ndarray, begins: np.ndarray, first: np.ndarray, batch: int = 512) -> np.ndarray:
-        """log10 probability of each id. begins: whether it begins a word (or is an end)."""
-        x, target, _ = windows(ids, first)
-        out = np.zeros(len(ids))
-        before = np.full(len(ids), START)
-        before[1:][~begins[1:]] = bucket_of(ids[:-1][~begins[1:]])
+    prior: np.ndarray
+    of_class: np.ndarray
+
+    @staticmethod
+    def start(lex: Lexicon, prior: np.ndarray) -> Model:
+        return Model(lex, Net.fresh(lex), prior, np.log(np.add.reduceat(np.exp(prior), lex.begin[:-1], axis=1)))
+
+    def _each_class(self, y: np.ndarray):
+        """Positions of y by class: the class's places from, to, and which positions; all positions in that order first."""
+        cls = self.lex.of[y]
+        order = np.argsort(cls, kind="stable")
+        at = np.searchsorted(cls[order], np.arange(len(self.lex.begin)))
+        return cls, order, [(self.lex.begin[c], self.lex.begin[c + 1], slice(at[c], at[c + 1])) for c in np.flatnonzero(np.diff(at))]
+
+    def logs(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """Natural logarithms of P(y) where ``on``, in order."""
+        at = np.flatnonzero(on)
+        z = self.net.forward(x)[-1].take(at, axis=0)
+        y, row = y.ravel()[at], self.lex.row[x.ravel()[at]]
+        cls, order, groups = self._each_class(y)
+        logits = z @ self.net.o
+        logits += self.of_class[row]
+        out = _softmax(logits, cls).astype(np.float64)
+        z, y, row = z[order], y[order], row[order]
+        for begin, end, of in groups:
+            logits = z[of] @ self.net.r[begin:end].T
+            logits += self.prior[row[of], begin:end]
+            out[order[of]] += _softmax(logits, y[of] - begin)
+        return out
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float]:
+        """Of the mean cross-entropy of y where ``on``: the places whose embeddings x holds, gradients in order of the net's parts (the embeddings' for those places), and the loss."""
+        net, (m, t) = self.net, x.shape
+        h, q, k, v, a, u, every = net.forward(x)
+        at = np.flatnonzero(on)
+        n = max(1, len(at))
+        z, y, row = every.take(at, axis=0), y.ravel()[at], self.lex.row[x.ravel()[at]]
+        cls, order, groups = self._each_class(y)
+        logits = z @ net.o
+        logits += self.of_class[row]
+        loss = -float(_softmax(logits, cls).sum())
+        logits[np.arange(len(at)), cls] -= 1
+        logits /= np.float32(n)
+        do, dz = z.T @ logits, logits @ net.o.T
+        dr, zs, ys, rows = np.zeros_like(net.r), z[order], y[order], row[order]
+        within = np.empty_like(zs)
+        for begin, end, of in groups:
+            own = net.r[begin:end]
+            logits = zs[of] @ own.T
+            logits += self.prior[rows[of], begin:end]
+            to = ys[of] - begin
+            loss -= float(_softmax(logits, to).sum())
+            logits[np.arange(len(to)), to] -= 1
+            logits /= np.float32(n)
+            dr[begin:end] = logits.T @ zs[of]
+            within[of] = logits @ own
+        dz[order] += within
+        dz *= z > 0
+        full = np.zeros_like(every)
+        full[at] = dz
+        dw, dc = u.reshape(-1, 3 * WIDTH).T @ full, full.sum(0)
+        du = (full @ net.w.T).reshape(m, t, 3 * WIDTH)
+        dh, dt = du[..., :WIDTH].copy(), du[..., 2 * WIDTH :]
+        dh[:, :-1] += du[:, 1:, WIDTH : 2 * WIDTH]
+        da, dv = np.matmul(dt, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dt)
+        da -= (da * a).sum(2, keepdims=True)
+        da *= a
+        dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+        dq *= SCALE
+        dall = np.concatenate([dq, dk, dv], 2).reshape(-1, 3 * WIDTH)
+        dattend = h.reshape(-1, WIDTH).T @ dall
+        dh += (dall @ net.a.T).reshape(m, t, WIDTH)
+        dp = np.zeros_like(net.p)
+        dp[:t] = dh.sum(0)
+        place = x.ravel()
+        by = np.argsort(place, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(place[by]) != 0])
+        return place[by][begin], [np.add.reduceat(dh.reshape(-1, WIDTH)[by], begin, axis=0), dp, dattend, dw, dc, do, dr], loss / n
+
+    def score(self, ids: np.ndarray, first: np.ndarray, batch: int = 256) -> np.ndarray:
+        """log10 probability of each id of texts that lie one after another."""
+        x, target = windows(ids, first)
+        x, y, out = self.lex.place[x], self.lex.place[ids], np.zeros(len(ids))
         for i in range(0, len(x), batch):
-            own = target[i : i + batch]
-            u = self._seen(x[i : i + batch])
-            on = own >= 0
-            z = u.reshape(-1, 2 * WIDTH).take(np.flatnonzero(on), axis=0) @ self.net.w
-            z += self.net.c
-            np.maximum(z, 0, out=z)
-            logits = z @ self.net.o
-            logits += self.net.b
-            np.minimum(logits, 60, out=logits)
-            np.exp(logits, out=logits)
-            to = own[on]
-            cls = self.of[ids[to]]
-            p = logits[np.arange(len(to)), cls] / (logits @ np.ones(CLASSES, np.float32))
-            out[to] = np.log10((1 - FLOOR) * p.astype(np.float64) + FLOOR * self.share[cls])
-        return out + self.table[before, ids]
-
-    def _seen(self, x: np.ndarray) -> np.ndarray:
-        """What forward() has before the hidden layer, without what only training needs."""
-        net, (m, n) = self.net, x.shape
-        u = np.empty((m, n, 2 * WIDTH), np.float32)
-        h = net.e.take(x, axis=0)
-        h += net.p
-        u[..., :WIDTH] = h
-        every = h.reshape(-1, WIDTH) @ np.concatenate([net.q * np.float32(WIDTH**-0.5), net.k, net.v], 1)
-        q, k, v = (every[:, i * WIDTH : (i + 1) * WIDTH].reshape(m, n, WIDTH) for i in range(3))
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(a, 30, out=a)
-        np.exp(a, out=a)
-        a *= SEEN
-        t = np.matmul(a, v)
-        t /= a.sum(2, keepdims=True)
-        u[..., WIDTH:] = t
-        return u
-
-
-def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of texts that lie one after another, id * 2 * AROUND + bucket for each neighbour within the text: before the id in the lower half of buckets, after it in the upper."""
-    inner = np.ones(len(ids), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
-    a, b = ids[:-1][inner[1:]].astype(np.int64), ids[1:][inner[1:]].astype(np.int64)
-    bucket = lambda i: (i * 2_654_435_761 >> 7) % AROUND
-    return np.concatenate([b * 2 * AROUND + bucket(a), a * 2 * AROUND + AROUND + bucket(b)])
-
-
-def classes(around: np.ndarray, n: np.ndarray, counts: np.ndarray, rounds: int = 12, seed: int = 9) -> np.ndarray:
-    """A class for each id, by k-means on how often (n) contexts stand around it and how often it stands itself; ids that never stand share the last class."""
-    own = np.flatnonzero(counts)
-    place = np.full(SIZE, -1)
-    place[own] = np.arange(len(own))
-    f = np.zeros((len(own), 2 * AROUND), np.float32)
-    f[place[around // (2 * AROUND)], around % (2 * AROUND)] = n
-    weight = counts[own].astype(np.float32)
-    out = np.full(SIZE, CLASSES - 1, np.int64)
-    if len(own):
-        f = np.sqrt((f + 0.05 * f.mean(0)) / np.maximum(f.sum(1, keepdims=True), 1))
-        f /= np.maximum(np.sqrt((f**2).sum(1, keepdims=True)), 1e-9)
-        rng = np.random.default_rng(seed)
-        n = min(CLASSES - 1, len(own))
-        center = f[rng.choice(len(own), n, replace=False, p=np.sqrt(weight) / np.sqrt(weight).sum())]
+            to = target[i : i + batch]
+            on = to >= 0
+            out[to[on]] = self.logs(x[i : i + batch], y[np.maximum(to, 0)], on)
+        return (out - np.log(self.lex.lacking[y])) / np.log(10)
+
+
+class Trainer:
+    """Adam, in place, its state kept between calls; embeddings move only where they stand."""
+
+    def __init__(self, model: Model):
+        self.model, self.step = model, 0
+        self.means = [np.zeros_like(p) for p in model.net.parts()[1:]]
+        self.squares = [np.zeros_like(p) for p in model.net.parts()]
+
+    def train(self, ids: np.ndarray, first: np.ndarray, rate, rounds: int = 1, seed: int = 3, batch: int = 128) -> float:
+        """Over windows of all ids, each standing in one, shuffled; ``rate(step, share of this call's steps)``. The mean loss of the last round."""
+        x, target = windows(ids, first, WINDOW)
+        lex, net = self.model.lex, self.model.net
+        x, y, on = lex.place[x], lex.place[ids][np.maximum(target, 0)] if len(ids) else target, target >= 0
+        rng, total, losses, done = np.random.default_rng(seed), max(1, rounds * -(-len(x) // batch)), [], 0
         for _ in range(rounds):
-            to = np.argmax(f @ center.T, 1)
-            for c in range(n):
-                mine = to == c
-                if mine.any():
-                    m = np.sqrt(weight[mine]) @ f[mine]
-                    center[c] = m / max(float(np.sqrt(m @ m)), 1e-9)
-        out[own] = np.argmax(f @ center.T, 1)
-    return out
-
-
-def table_of(of: np.ndarray, before: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P(id | class, what stands before) from counts of (before, id), and P(class)."""
-    seen = np.zeros((BEFORE + 1, SIZE), np.float32)
-    np.add.at(seen, (before, ids), counts)
-    alone = seen.sum(0, dtype=np.float64) + 0.05
-    mass = np.bincount(of, alone, CLASSES)
-    prior = (alone / mass[of]).astype(np.float32)
-    for k in range(BEFORE + 1):
-        total = np.bincount(of, seen[k], CLASSES)
-        seen[k] = np.log10((seen[k] + PRIOR * prior) / (total[of] + PRIOR))
-    return seen, (mass / mass.sum())
+            order, losses = rng.permutation(len(x)), []
+            for i in range(0, len(x), batch):
+                own = order[i : i + batch]
+                places, grads, loss = self.model.gradients(x[own], y[own], on[own])
+                losses.append(loss)
+                self.step += 1
+                done += 1
+                lr = np.float32(rate(self.step, done / total))
+                squares = self.squares[0][places]
+                squares += 0.05 * (grads[0] ** 2 - squares)
+                self.squares[0][places] = squares
+                net.e[places] -= lr * grads[0] / (np.sqrt(squares) + 1e-7)
+                for p, g, m, s in zip(net.parts()[1:], grads[1:], self.means, self.squares[1:], strict=True):
+                    m += 0.1 * (g - m)
+                    s += 0.01 * (g * g - s)
+                    p -= lr * (m / np.float32(1 - 0.9**self.step)) / (np.sqrt(s / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+        return float(np.mean(losses)) if losses else 0.0
+
+
+SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+SCALE = np.float32(WIDTH**-0.5)

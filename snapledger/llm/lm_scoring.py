@@ -1,6 +1,6 @@
 """Language-model scores of all documents, beside a smoothed unigram base; see lm for the model.
 
-Training texts are counted in full. Words that are frequent, at most ``frequent`` of them, are sent to all workers with
+Training texts are cut into subwords once, counted in full, and every window of them trains the net. Words that are frequent, at most ``frequent`` of them, are sent to all workers with
 their counts; the others meet their counts in a join, a row for each document and word.
 """
 
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +20,17 @@ from .common import frequent, kept
 
 #: Stands for the end among hashes of words.
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
-SLICES = 16
+#: Bytes of text whose subwords are one row.
+BLOCK = 1 << 20
+#: Weights in a piece, and pieces that are averaged at once.
+PIECE, FAN = 1 << 18, 32
+WEIGHTS = "part long, piece long, n long, data binary"
 
 
 @dataclass(frozen=True)
 class Scoring:
     """vocabulary: file of a public vocabulary; none for that of the installed package. folds, held_out: of crc32 of the key. frequent: most words that are sent. start: documents, chosen by hash, on
-    which first weights are fitted, about; fewer, but one at least, if their texts, never cut, have more ``characters``."""
+    which first weights are fitted, about; fewer, but one at least, if their texts, never cut, have more ``characters``; rounds: of that fit. From there on every partition trains on all its training texts."""
 
     vocabulary: str | None = None
     folds: int = 7
@@ -33,6 +38,7 @@ class Scoring:
     frequent: int = 500_000
     start: int = 1_200
     characters: int = 16_000_000
+    rounds: int = 4
 
 
 def _path(scoring: Scoring) -> str:
@@ -43,56 +49,23 @@ def _path(scoring: Scoring) -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _ids(found: words.Words, subwords: lm.Subwords, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subwords of a block's texts, each text closed by an end: ids, whether each begins a word, and where texts begin."""
+def _ids(found: words.Words, subwords: lm.Subwords, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of a block's texts, each text closed by an end: ids, and where texts begin."""
     cut, first = subwords.cut(h, lambda i: found.data[found.starts[i] : found.ends[i]].tobytes())
-    text_first = first[found.first]
-    n = np.diff(text_first)
-    begins = np.zeros(len(cut) + 1, bool)
-    begins[first[:-1]] = True
-    stops = text_first[1:]
-    ids = np.insert(cut, stops, lm.END).astype(np.int64)
-    return ids, np.insert(begins[:-1], stops, True), np.r_[0, np.cumsum(n + 1)]
+    at = first[found.first]
+    return np.insert(cut, at[1:], lm.END).astype(np.int64), np.r_[0, np.cumsum(np.diff(at) + 1)]
 
 
 def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
-def _training(ids: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x, target, _ = lm.windows(ids, first)
-    return x, of[ids[np.maximum(target, 0)]], target >= 0
-
-
-def _started(rows: DataFrame, total: int, of: np.ndarray, scoring: Scoring) -> lm.Net:
-    """First weights from a bounded sample of training texts."""
-    part = int(min(1.0, scoring.start / max(1, total)) * (1 << 30))
-    h = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30))
-    some = rows.select("text", h.alias("h")).filter(F.col("h") < part)
-    room, last = scoring.characters, -1
-    for r in some.groupBy("h").agg(F.max(F.length("text")).alias("n")).orderBy("h").limit(2 * scoring.start).collect():
-        room -= r["n"]
-        if room < 0 <= last:
-            break
-        last = r["h"]
-    texts = sorted(r["text"] for r in some.filter(F.col("h") <= last).select("text").distinct().collect())
-    subwords, parts, at = lm.Subwords(_path(scoring)), [np.empty(0, np.int64)], [0]
-    for _, _, found in words.blocks(pa.array(texts, pa.string())):
-        ids, _, first = _ids(found, subwords, found.hashes())
-        parts.append(ids)
-        at += (first[1:] + at[-1]).tolist()
-    ids, first = np.concatenate(parts), np.array(at)
-    net = lm.Net.fresh()
-    net.train(*_training(ids, first, of), rounds=3, rate=0.01)
-    return net
-
-
-def _counted(rows: DataFrame, scoring: Scoring) -> DataFrame:
-    """Counts of three kinds from training texts: 0 words (hash), 1 subwords (before * SIZE + id), 2 contexts of subwords (as lm.contexts gives them)."""
+def _tokens(rows: DataFrame, scoring: Scoring) -> DataFrame:
+    """Of training texts, rows of three kinds: 0 counts of words (hash), 1 counts of subwords (id), 2 blocks of whole texts in subwords, each text closed by an end (``data``: 16 bits each)."""
 
     def run(batches):
         subwords = lm.Subwords(_path(scoring))
-        seen, around, ends = np.zeros((lm.BEFORE + 1) * lm.SIZE, np.int32), np.zeros(2 * lm.AROUND * lm.SIZE, np.int32), 0
+        alone, ends = np.zeros(lm.SIZE, np.int64), 0
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
@@ -102,21 +75,19 @@ def _counted(rows: DataFrame, scoring: Scoring) -> DataFrame:
 
         def out(kind, a, n):
             for i in range(0, len(a), 500_000):
-                yield _rows(kind=np.full(len(a[i : i + 500_000]), kind, np.int8), a=a[i : i + 500_000].view(np.int64), n=n[i : i + 500_000].astype(np.int64))
+                m = len(a[i : i + 500_000])
+                yield _rows(kind=np.full(m, kind, np.int8), a=a[i : i + 500_000].view(np.int64), n=n[i : i + 500_000], data=pa.nulls(m, pa.binary()))
 
         for batch in batches:
-            for begin, end, found in words.blocks(batch.column(0), 2 << 20):
+            for begin, end, found in words.blocks(batch.column(0), BLOCK):
                 h = found.hashes()
                 own, n = np.unique(h, return_counts=True)
                 hashes.append(own)
                 counts.append(n)
                 ends += end - begin
-                ids, begins, first = _ids(found, subwords, h)
-                before = np.full(len(ids), lm.START)
-                inner = np.flatnonzero(~begins)
-                before[inner] = lm.bucket_of(ids[inner - 1])
-                np.add.at(seen, before * lm.SIZE + ids, 1)
-                np.add.at(around, lm.contexts(ids, first), 1)
+                ids, _ = _ids(found, subwords, h)
+                alone += np.bincount(ids, minlength=lm.SIZE)
+                yield _rows(kind=np.array([2], np.int8), a=np.array([len(ids)]), n=np.array([end - begin]), data=pa.array([ids.astype(np.uint16).tobytes()], pa.binary()))
                 if sum(map(len, hashes)) > 2_000_000:
                     h, n = merged()
                     if len(h) > 1_200_000:
@@ -127,57 +98,114 @@ def _counted(rows: DataFrame, scoring: Scoring) -> DataFrame:
         if ends:
             hashes.append(np.array([END_WORD]))
             counts.append(np.array([ends]))
-        if hashes:
             yield from out(0, *merged())
-        for kind, table in ((1, seen), (2, around)):
-            own = np.flatnonzero(table)
-            yield from out(kind, own, table[own])
+            own = np.flatnonzero(alone)
+            yield from out(1, own, alone[own])
 
-    return rows.select("text").mapInArrow(run, "kind tinyint, a long, n long")
+    return rows.select("text").mapInArrow(run, "kind tinyint, a long, n long, data binary")
 
 
-def _trained(rows: DataFrame, start, scoring: Scoring) -> DataFrame:
-    """Slices of weights that windows of all training texts of a partition have trained further (slice, windows, bytes)."""
+def _blocks(batches):
+    """Blocks that _tokens wrote: ids, and where texts begin."""
+    for batch in batches:
+        for data in batch.column(0):
+            ids = np.frombuffer(data.as_py(), np.uint16).astype(np.int64)
+            yield ids, np.r_[0, np.flatnonzero(ids == lm.END) + 1]
+
+
+def _paired(tokens: DataFrame, rank: np.ndarray, row: np.ndarray, rows: int) -> DataFrame:
+    """Counts n of cells a of the prior's table, over all training texts."""
 
     def run(batches):
-        net, of = start.value
-        net = lm.Net(*[p.copy() for p in net.parts()])
-        subwords, trained = lm.Subwords(_path(scoring)), 0
-        for batch in batches:
-            for _, _, found in words.blocks(batch.column(0), 1 << 20):
-                ids, _, first = _ids(found, subwords, found.hashes())
-                x, y, on = _training(ids, first, of)
-                net.train(x, y, on, rounds=1, rate=0.002)
-                trained += len(x)
+        total = None
+        for ids, first in _blocks(batches):
+            own = lm.pairs(rank, row, rows, ids, first).astype(np.int32)
+            total = own if total is None else np.add(total, own, out=total)
+        if total is not None:
+            cells = np.flatnonzero(total)
+            yield _rows(a=cells, n=total[cells].astype(np.int64))
+
+    return tokens.select("data").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+
+
+def _started(rows: DataFrame, total: int, model: lm.Model, scoring: Scoring) -> None:
+    """First weights, from a bounded sample of distinct training texts."""
+    part = int(min(1.0, scoring.start / max(1, total)) * (1 << 30))
+    h = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30))
+    some = rows.select("text", h.alias("h")).filter(F.col("h") < part)
+    room, last = scoring.characters, -1
+    for r in some.groupBy("h").agg(F.max(F.length("text")).alias("n")).orderBy("h").limit(2 * scoring.start).collect():
+        room -= r["n"]
+        if room < 0 <= last:
+            break
+        last = r["h"]
+    texts = sorted(r["text"] for r in some.filter(F.col("h") <= last).select("text").distinct().collect())
+    subwords, parts, at = lm.Subwords(_path(scoring)), [np.empty(0, np.int64)], [0]
+    for _, _, found in words.blocks(pa.array(texts, pa.string())):
+        ids, first = _ids(found, subwords, found.hashes())
+        parts.append(ids)
+        at += (first[1:] + at[-1]).tolist()
+    lm.Trainer(model).train(np.concatenate(parts), np.array(at), lambda step, share: 0.008 * min(1, step / 50) * (1 - 0.9 * share), scoring.rounds)
+
+
+def _trained(tokens: DataFrame, sent) -> DataFrame:
+    """Pieces of the weights that all training texts of a partition, each window once, have trained further: partition, piece, windows' subwords as weight, bytes."""
+
+    def run(batches):
+        model = sent.value
+        own = lm.Model(model.lex, lm.Net(*[p.copy() for p in model.net.parts()]), model.prior, model.of_class)
+        trainer, trained = lm.Trainer(own), 0
+        for ids, first in _blocks(batches):
+            trainer.train(ids, first, lambda step, _: 0.004 * min(1, step / 20) / (1 + step / 200) ** 0.5)
+            trained += len(ids)
         if trained:
-            flat = np.concatenate([p.ravel() for p in net.parts()])
-            for k, piece in enumerate(np.array_split(flat, SLICES)):
-                yield _rows(a=np.array([k]), n=np.array([trained]), data=pa.array([piece.tobytes()], pa.binary()))
+            flat = np.concatenate([p.ravel() for p in own.net.parts()])
+            for k in range(0, len(flat), PIECE):
+                yield _rows(part=np.array([TaskContext.get().partitionId()], np.int64), piece=np.array([k // PIECE]), n=np.array([trained]), data=pa.array([flat[k : k + PIECE].tobytes()], pa.binary()))
 
-    return rows.select("text").mapInArrow(run, "a long, n long, data binary")
+    return tokens.select("data").mapInArrow(run, WEIGHTS)
 
 
-def _averaged(trained: DataFrame, net: lm.Net) -> lm.Net:
-    """The mean of the partitions' weights, by windows; averaged by executors, a slice at a time."""
+def _averaged(weights: DataFrame, net: lm.Net) -> lm.Net:
+    """The mean of the partitions' weights, by subwords trained on, up a tree: a task reads FAN pieces of bounded size, however many partitions there are."""
 
-    def mean(batches):
-        sums: dict[int, tuple[np.ndarray, int]] = {}
-        for pdf in batches:
-            for k, n, data in pdf.itertuples(index=False):
-                total, weight = sums.get(k, (0.0, 0))
-                sums[k] = (total + np.frombuffer(data, np.float32).astype(np.float64) * n, weight + n)
-        yield pd.DataFrame({"k": list(sums), "data": [(t / w).astype(np.float32).tobytes() for t, w in sums.values()]})
+    def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total, n = 0.0, pdf["n"].sum()
+        for own, data in pdf.sort_values("part")[["n", "data"]].itertuples(index=False):
+            total = total + np.frombuffer(data, np.float32).astype(np.float64) * (own / n)
+        return pd.DataFrame({"part": [key[0]], "piece": [key[1]], "n": [n], "data": [total.astype(np.float32).tobytes()]})
 
-    slices = trained.repartition(SLICES, "a").mapInPandas(mean, "k long, data binary").orderBy("k").collect()
-    if not slices:
+    last = weights.agg(F.max("part")).first()[0]
+    if last is None:
         return net
-    flat, at, parts = np.concatenate([np.frombuffer(r["data"], np.float32) for r in slices]), 0, []
+    while True:
+        weights = kept(weights.groupBy(F.floor(F.col("part") / FAN).alias("up"), "piece").applyInPandas(mean, WEIGHTS), "lm-means")
+        last //= FAN
+        if not last:
+            break
+    flat, at, parts = np.concatenate([np.frombuffer(r["data"], np.float32) for r in weights.orderBy("piece").collect()]), 0, []
     for p in net.parts():
         parts.append(flat[at : at + p.size].reshape(p.shape).copy())
         at += p.size
     return lm.Net(*parts)
 
 
+def _model(tokens: DataFrame, training: DataFrame, scoring: Scoring) -> lm.Model:
+    """Fitted on all training texts: the prior by counting, the net by gradients, every partition from the same first weights, which are then averaged."""
+    alone = tokens.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()  # a row for each subword at most
+    counts = np.zeros(lm.SIZE, np.int64)
+    counts[alone["a"].to_numpy(np.int64)] = alone["n"].to_numpy(np.int64)
+    rank, row, rows = lm.ranked(counts)
+    blocks = tokens.filter("kind = 2")
+    cells = _paired(blocks, rank, row, rows).toPandas()  # as many as the table has, at most
+    table = np.zeros(rows * len(row), np.float32)
+    table[cells["a"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float32)
+    model = lm.Model.start(*lm.lexicon(rank, row, table.reshape(rows, len(row))))
+    _started(training, int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), model, scoring)
+    weights = kept(_trained(blocks, training.sparkSession.sparkContext.broadcast(model)), "lm-weights")
+    return lm.Model(model.lex, _averaged(weights, model.net), model.prior, model.of_class)
+
+
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", scoring: Scoring = Scoring()) -> DataFrame:
     """For each row of docs: key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``; scores are log10 probabilities.
 
@@ -189,21 +217,11 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", scoring: Sc
     fold = F.crc32(text_key.cast("binary")) % scoring.folds
     rows = docs.select(F.col(f"`{key}`").alias("id"), text_key.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), (fold == scoring.held_out).alias("held_out"))
     training = rows.filter(~F.col("held_out"))
-    counted = kept(_counted(training, scoring), "lm-counts")
-    counts = kept(counted.filter("kind = 0").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("c")), "lm-words")
+    tokens = kept(_tokens(training, scoring), "lm-tokens")
+    counts = kept(tokens.filter("kind = 0").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("c")), "lm-words")
     known, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = frequent(counts, "c", scoring.frequent).toPandas().sort_values("h")
-
-    def summed(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        pairs = counted.filter(F.col("kind") == kind).groupBy("a").agg(F.sum("n").alias("n")).toPandas()
-        return pairs["a"].to_numpy(np.int64), pairs["n"].to_numpy(np.float64)
-
-    a, n = summed(1)
-    of = lm.classes(*summed(2), np.bincount(a % lm.SIZE, n, lm.SIZE))
-    net = _started(training, training.count(), of, scoring)
-    trained = kept(_trained(training, spark.sparkContext.broadcast((net, of)), scoring), "lm-weights")
-    table, share = lm.table_of(of, a // lm.SIZE, a % lm.SIZE, n)
-    model = lm.Model(_averaged(trained, net), of, table, share)
+    model = _model(tokens, training, scoring)
     logs = np.log10((top["c"].to_numpy(np.float64) + 1) / (total + known + 1.0))
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast((model, top["h"].to_numpy(np.int64).view(np.uint64)[order], logs[order]))
@@ -247,8 +265,8 @@ def _scores(numbered: DataFrame, sent, scoring: Scoring) -> DataFrame:
                 hit, log = look(h)
                 base = np.bincount(text_of[hit], log[hit], count) + (end_log[0] if end_hit[0] else 0.0)
                 n_known = np.bincount(text_of[hit], minlength=count) + int(end_hit[0])
-                ids, begins, first = _ids(found, subwords, h)
-                score = np.add.reduceat(model.score(ids, begins, first), first[:-1])
+                ids, first = _ids(found, subwords, h)
+                score = np.add.reduceat(model.score(ids, first), first[:-1])
                 yield out(np.arange(begin, end), pa.nulls(count, pa.int64()), np.diff(found.first) + 1, n_known, base, score)
                 rare_of, rare_h = text_of[~hit], h[~hit]
                 if not end_hit[0]:

@@ -23,6 +23,8 @@ WINDOW, STRIDE = 32, 24
 WIDTH, HIDDEN = 24, 32
 #: Cells of the prior's table: rows for what stands before, columns for what follows. PRIOR: weight of a subword's frequency against a row's counts.
 TABLE, PRIOR = 4_000_000, 8.0
+#: What the net adds to a prior's logarithm lies between minus this and this.
+LIMIT = 30
 
 
 #: White space beyond ASCII's, which the vocabulary's pattern splits at; such words are cut one by one.
@@ -143,7 +145,7 @@ def pairs(rank: np.ndarray, row: np.ndarray, rows: int, ids: np.ndarray, first:
 
 
 def lexicon(rank: np.ndarray, row: np.ndarray, counts: np.ndarray, rounds: int = 8, seed: int = 9) -> tuple[Lexicon, np.ndarray]:
-    """Classes by k-means on what stands before each id, about as many as the root of the number of ids; and log P(id | row) by place, smoothed.
+    """Classes by k-means on what stands before each id, about as many as the root of the number of ids; and P(id | row) by place, smoothed.
 
     counts: of (row, rank).
     """
@@ -168,7 +170,7 @@ def lexicon(rank: np.ndarray, row: np.ndarray, counts: np.ndarray, rounds: int =
     to_place = np.empty(size, np.int64)
     to_place[order] = np.arange(size)
     sizes = np.bincount(to)
-    return Lexicon(to_place[rank], row[order], rows, np.r_[0, np.cumsum(sizes)], to[order], np.where(order == size - 1, max(1, int((rank == size - 1).sum())), 1)), np.log(prior[:, order])
+    return Lexicon(to_place[rank], row[order], rows, np.r_[0, np.cumsum(sizes)], to[order], np.where(order == size - 1, max(1, int((rank == size - 1).sum())), 1)), prior[:, order]
 
 
 @dataclass
@@ -209,8 +211,8 @@ class Net:
         np.minimum(a, 30, out=a)
         np.exp(a, out=a)
         a *= SEEN[:n, :n]
-        a /= a.sum(2, keepdims=True)
-        u = np.empty((m, n, 3 * WIDTH), np.float32)
+        a /= (a.reshape(-1, n) @ ONES[:n]).reshape(m, n, 1)
+        u = np.empty((m, n, 3 * WIDTH), h.dtype)
         u[..., :WIDTH] = h
         u[:, 0, WIDTH : 2 * WIDTH] = 0
         u[:, 1:, WIDTH : 2 * WIDTH] = h[:, :-1]
@@ -220,35 +222,42 @@ class Net:
         return h, q, k, v, a, u, np.maximum(z, 0, out=z)
 
 
-def _softmax(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In place; the log of y's share."""
-    logits -= logits.max(1, keepdims=True)
-    picked = logits[np.arange(len(y)), y]
+def _weighed(logits: np.ndarray, prior: np.ndarray, row: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place, prior times exp(logits), which are held within LIMIT: totals of rows, and y's."""
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
     np.exp(logits, out=logits)
-    total = logits.sum(1)
-    logits /= total[:, None]
-    return picked - np.log(total)
+    logits *= prior.take(row, axis=0)
+    return logits @ np.ones(logits.shape[1], logits.dtype), logits[np.arange(len(y)), y]
+
+
+def _errors(logits: np.ndarray, prior: np.ndarray, row: np.ndarray, y: np.ndarray, n: int) -> float:
+    """In place, gradients of the mean cross-entropy over n; gives the sum of the cross-entropy."""
+    total, picked = _weighed(logits, prior, row, y)
+    logits *= (1 / (n * total))[:, None]
+    logits[np.arange(len(y)), y] -= logits.dtype.type(1 / n)
+    return float(np.log(total / picked).sum())
 
 
 @dataclass
 class Model:
-    """P(place | before) = P(class | before) P(place | class, before); each factor is a softmax of the prior's logarithm plus what the net adds."""
+    """P(place | before) = P(class | before) P(place | class, before); each factor is the prior times the exponential of what the net adds, made to sum to one. ``prior``: by class, rows times places; ``of_class``: rows times classes."""
 
     lex: Lexicon
     net: Net
-    prior: np.ndarray
+    prior: list[np.ndarray]
     of_class: np.ndarray
 
     @staticmethod
     def start(lex: Lexicon, prior: np.ndarray) -> Model:
-        return Model(lex, Net.fresh(lex), prior, np.log(np.add.reduceat(np.exp(prior), lex.begin[:-1], axis=1)))
+        parts = [np.ascontiguousarray(prior[:, a:b]) for a, b in zip(lex.begin[:-1], lex.begin[1:], strict=True)]
+        return Model(lex, Net.fresh(lex), parts, np.stack([p.sum(1) for p in parts], 1))
 
     def _each_class(self, y: np.ndarray):
-        """Positions of y by class: the class's places from, to, and which positions; all positions in that order first."""
+        """The classes of y, the order that sorts them, and for each class that stands: itself, its first place and one past the last, and its slice of that order."""
         cls = self.lex.of[y]
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         at = np.searchsorted(cls[order], np.arange(len(self.lex.begin)))
-        return cls, order, [(self.lex.begin[c], self.lex.begin[c + 1], slice(at[c], at[c + 1])) for c in np.flatnonzero(np.diff(at))]
+        return cls, order, [(c, self.lex.begin[c], self.lex.begin[c + 1], slice(at[c], at[c + 1])) for c in np.flatnonzero(np.diff(at))]
 
     def logs(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(y) where ``on``, in order."""
@@ -256,15 +265,14 @@ class Model:
         z = self.net.forward(x)[-1].take(at, axis=0)
         y, row = y.ravel()[at], self.lex.row[x.ravel()[at]]
         cls, order, groups = self._each_class(y)
-        logits = z @ self.net.o
-        logits += self.of_class[row]
-        out = _softmax(logits, cls).astype(np.float64)
-        z, y, row = z[order], y[order], row[order]
-        for begin, end, of in groups:
-            logits = z[of] @ self.net.r[begin:end].T
-            logits += self.prior[row[of], begin:end]
-            out[order[of]] += _softmax(logits, y[of] - begin)
-        return out
+        total, picked = _weighed(z @ self.net.o, self.of_class, row, cls)
+        out = (picked / total).astype(np.float64)
+        z, y, row, within = z.take(order, axis=0), y[order], row[order], np.empty(len(at), np.float32)
+        for c, begin, end, of in groups:
+            total, picked = _weighed(z[of] @ self.net.r[begin:end].T, self.prior[c], row[of], y[of] - begin)
+            within[of] = picked / total
+        out[order] *= within
+        return np.log(out)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float]:
         """Of the mean cross-entropy of y where ``on``: the places whose embeddings x holds, gradients in order of the net's parts (the embeddings' for those places), and the loss."""
@@ -275,21 +283,14 @@ class Model:
         z, y, row = every.take(at, axis=0), y.ravel()[at], self.lex.row[x.ravel()[at]]
         cls, order, groups = self._each_class(y)
         logits = z @ net.o
-        logits += self.of_class[row]
-        loss = -float(_softmax(logits, cls).sum())
-        logits[np.arange(len(at)), cls] -= 1
-        logits /= np.float32(n)
+        loss = _errors(logits, self.of_class, row, cls, n)
         do, dz = z.T @ logits, logits @ net.o.T
-        dr, zs, ys, rows = np.zeros_like(net.r), z[order], y[order], row[order]
+        dr, zs, ys, rows = np.zeros_like(net.r), z.take(order, axis=0), y[order], row[order]
         within = np.empty_like(zs)
-        for begin, end, of in groups:
+        for c, begin, end, of in groups:
             own = net.r[begin:end]
             logits = zs[of] @ own.T
-            logits += self.prior[rows[of], begin:end]
-            to = ys[of] - begin
-            loss -= float(_softmax(logits, to).sum())
-            logits[np.arange(len(to)), to] -= 1
-            logits /= np.float32(n)
+            loss += _errors(logits, self.prior[c], rows[of], ys[of] - begin, n)
             dr[begin:end] = logits.T @ zs[of]
             within[of] = logits @ own
         dz[order] += within
@@ -298,22 +299,25 @@ class Model:
         full[at] = dz
         dw, dc = u.reshape(-1, 3 * WIDTH).T @ full, full.sum(0)
         du = (full @ net.w.T).reshape(m, t, 3 * WIDTH)
-        dh, dt = du[..., :WIDTH].copy(), du[..., 2 * WIDTH :]
+        dh, dt = du[..., :WIDTH].copy(), np.ascontiguousarray(du[..., 2 * WIDTH :])
         dh[:, :-1] += du[:, 1:, WIDTH : 2 * WIDTH]
         da, dv = np.matmul(dt, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dt)
-        da -= (da * a).sum(2, keepdims=True)
+        da -= ((da * a).reshape(-1, t) @ np.ones(t, da.dtype)).reshape(m, t, 1)
         da *= a
-        dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-        dq *= SCALE
-        dall = np.concatenate([dq, dk, dv], 2).reshape(-1, 3 * WIDTH)
+        dall = np.empty((m, t, 3 * WIDTH), h.dtype)
+        dall[..., :WIDTH] = np.matmul(da, k)
+        dall[..., :WIDTH] *= SCALE
+        dall[..., WIDTH : 2 * WIDTH] = np.matmul(da.transpose(0, 2, 1), q)
+        dall[..., 2 * WIDTH :] = dv
+        dall = dall.reshape(-1, 3 * WIDTH)
         dattend = h.reshape(-1, WIDTH).T @ dall
         dh += (dall @ net.a.T).reshape(m, t, WIDTH)
         dp = np.zeros_like(net.p)
         dp[:t] = dh.sum(0)
         place = x.ravel()
-        by = np.argsort(place, kind="stable")
+        by = np.argsort(place.astype(np.uint16), kind="stable")
         begin = np.flatnonzero(np.r_[True, np.diff(place[by]) != 0])
-        return place[by][begin], [np.add.reduceat(dh.reshape(-1, WIDTH)[by], begin, axis=0), dp, dattend, dw, dc, do, dr], loss / n
+        return place[by][begin], [np.add.reduceat(dh.reshape(-1, WIDTH).take(by, axis=0), begin, axis=0), dp, dattend, dw, dc, do, dr], loss / n
 
     def score(self, ids: np.ndarray, first: np.ndarray, batch: int = 256) -> np.ndarray:
         """log10 probability of each id of texts that lie one after another."""
@@ -360,5 +364,6 @@ class Trainer:
         return float(np.mean(losses)) if losses else 0.0
 
 
+ONES = np.ones(WINDOW, np.float32)
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 SCALE = np.float32(WIDTH**-0.5)

@@ -156,7 +156,7 @@ def _trained(tokens: DataFrame, sent) -> DataFrame:
         own = lm.Model(model.lex, lm.Net(*[p.copy() for p in model.net.parts()]), model.prior, model.of_class)
         trainer, trained = lm.Trainer(own), 0
         for ids, first in _blocks(batches):
-            trainer.train(ids, first, lambda step, _: 0.004 * min(1, step / 20) / (1 + step / 200) ** 0.5)
+            trainer.train(ids, first, lambda step, _: 0.004 * min(1, step / 20) / (1 + step / 200) ** 0.5, batch=256)
             trained += len(ids)
         if trained:
             flat = np.concatenate([p.ravel() for p in own.net.parts()])

@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from snapledger.llm import lm, lm_scoring, quality
+from snapledger.llm import lm, lm_scoring, quality, words
 from snapledger.llm.lm_scoring import Scoring
 
 DATA = "/root/testdata/sf0.01"
@@ -91,106 +92,166 @@ def test_windows_score_each_place_once():
     for sizes in ([1], [31, 32, 33], [56, 57, 100, 1, 200]):
         first = np.r_[0, np.cumsum(sizes)]
         ids = np.arange(first[-1]) % 1000
-        x, target, of = lm.windows(ids, first)
-        own = target[target >= 0]
-        assert sorted(own.tolist()) == list(range(first[-1]))
-        for w, t, k in zip(x, target, of, strict=True):
-            for place, to in enumerate(t):
-                if to >= 0:
-                    assert w[place] == (lm.END if to == first[k] else ids[to - 1])
+        for stride in (lm.STRIDE, lm.WINDOW):
+            x, target = lm.windows(ids, first, stride)
+            assert sorted(target[target >= 0].tolist()) == list(range(first[-1]))
+            for w, t in zip(x, target, strict=True):
+                for place, to in enumerate(t):
+                    if to >= 0:
+                        assert w[place] == (lm.END if to in first else ids[to - 1])
 
 
 def test_later_windows_see_what_stands_before():
     """The first scored place of every window after the first has 9 ids before it at least."""
-    x, target, _ = lm.windows(np.arange(500) % 400, np.array([0, 500]))
+    x, target = lm.windows(np.arange(500) % 400, np.array([0, 500]))
     assert all(np.flatnonzero(t >= 0)[0] >= 8 for t in target[1:])
 
 
-def test_probabilities_sum_to_one_and_dont_see_ahead():
-    rng = np.random.default_rng(3)
-    of = rng.integers(0, lm.CLASSES, lm.SIZE)
-    table, share = lm.table_of(of, rng.integers(0, lm.BEFORE + 1, 500), rng.integers(0, lm.SIZE, 500), rng.integers(1, 9, 500).astype(float))
-    model = lm.Model(lm.Net.fresh(), of, table, share)
-    ids = rng.integers(0, lm.SIZE, 40)
-    begins = rng.random(40) < 0.5
-    first = np.array([0, 40])
-    for place in (0, 5, 39):
-        h = model.net.forward(lm.windows(ids[: place + 1], np.array([0, place + 1]))[0])[-1]
-        logits = h[-1, place % 32 if place < 32 else place - lm.STRIDE] if place < 32 else h[-1, place - lm.STRIDE]
-        p = np.exp(logits - logits.max())
-        p = (1 - lm.FLOOR) * p / p.sum() + lm.FLOOR * share
-        before = lm.START if place == 0 or begins[place] else int(lm.bucket_of(ids[place - 1 : place])[0])
-        every = np.log10(p[of]) + table[before]
-        assert abs((10.0 ** every.astype(np.float64)).sum() - 1) < 1e-3
-        assert abs(model.score(ids, begins, first)[place] - every[ids[place]]) < 1e-3
+def _ids(texts):
+    subwords = lm.Subwords(lm_scoring._path(Scoring()))
+    (found,) = [w for _, _, w in words.blocks(pa.array(texts))]
+    return lm_scoring._ids(found, subwords, found.hashes())
+
+
+def _model(texts, table=lm.TABLE, seed=1):
+    """A model whose prior is counted over texts, with random weights."""
+    ids, first = _ids(texts)
+    old, lm.TABLE = lm.TABLE, table
+    try:
+        rank, row, rows = lm.ranked(np.bincount(ids, minlength=lm.SIZE))
+    finally:
+        lm.TABLE = old
+    model = lm.Model.start(*lm.lexicon(rank, row, lm.pairs(rank, row, rows, ids, first).reshape(rows, len(row)).astype(np.float32)))
+    rng = np.random.default_rng(seed)
+    for p in model.net.parts():
+        p += rng.normal(size=p.shape).astype(np.float32) * 0.3
+    return model
+
+
+def plain_distribution(model, before):
+    """P of every id after the ids before it (a window's, the first an END), spelled out place by place."""
+    lex, net = model.lex, model.net
+    e = [net.e[lex.place[i]].astype(float) + net.p[k] for k, i in enumerate(before)]
+    q, k, v = ([x @ net.a[:, i * lm.WIDTH : (i + 1) * lm.WIDTH] for x in e] for i in range(3))
+    weights = [math.exp(float(q[-1] @ y) / math.sqrt(lm.WIDTH)) for y in k]
+    seen = sum(w * y for w, y in zip(weights, v, strict=True)) / sum(weights)
+    z = np.maximum(np.concatenate([e[-1], e[-2] if len(e) > 1 else np.zeros(lm.WIDTH), seen]) @ net.w + net.c, 0)
+    row = lex.row[lex.place[before[-1]]]
+    of_class = [float(model.of_class[row, c]) * math.exp(float(z @ net.o[:, c])) for c in range(len(lex.begin) - 1)]
+    out = np.zeros(lm.SIZE)
+    by_place = np.zeros(lex.size)
+    for c in range(len(of_class)):
+        a, b = lex.begin[c], lex.begin[c + 1]
+        own = [float(model.prior[c][row, k - a]) * math.exp(float(z @ net.r[k])) for k in range(a, b)]
+        by_place[a:b] = np.array(own) / sum(own) * of_class[c] / sum(of_class)
+    for i in range(lm.SIZE):
+        out[i] = by_place[lex.place[i]] / lex.lacking[lex.place[i]]
+    return out
+
+
+CORPUS = ["The cat sat on the mat.", "", "A dog, a cat and a mat " * 9, "quartz", "the " * 31]
+
+
+@pytest.mark.parametrize("table", [lm.TABLE, 120])
+def test_scores_against_plain_distributions(table):
+    """Every subword's score, its windows cut by hand, against a distribution that is spelled out and sums to one."""
+    model = _model(CORPUS, table)
+    ids, first = _ids(["the mat sat on a dog and Xylophones " * 6, "", "cat"])
+    got = model.score(ids, first)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        for i in range(a, b):
+            at = i - a
+            begin = 0 if at < lm.WINDOW else -(-(at - lm.WINDOW + 1) // lm.STRIDE) * lm.STRIDE
+            own = [lm.END, *ids[a:i].tolist()][begin : at + 1]
+            every = plain_distribution(model, own)
+            assert abs(every.sum() - 1) < 1e-4
+            assert abs(got[i] - math.log10(every[ids[i]])) < 1e-4
+
+
+def test_nothing_ahead_is_seen():
+    model = _model(CORPUS)
+    ids, first = _ids(["the cat and the dog sat on the mat and on the quartz " * 3])
     changed = ids.copy()
-    changed[20:] = rng.integers(0, lm.SIZE, 20)
-    assert np.allclose(model.score(ids, begins, first)[:20], model.score(changed, begins, first)[:20])
+    changed[20:-1] = ids[5]
+    assert np.allclose(model.score(ids, first)[:20], model.score(changed, first)[:20])
 
 
 def test_gradients():
+    model = _model(CORPUS)
+    model.net = lm.Net(*[p.astype(np.float64) for p in model.net.parts()])
+    model.prior = [p.astype(np.float64) for p in model.prior]
+    model.of_class = model.of_class.astype(np.float64)
     rng = np.random.default_rng(4)
-    net = lm.Net.fresh()
-    for p in net.parts():
-        p += rng.normal(size=p.shape).astype(np.float32) * 0.05
-    net = lm.Net(*[p.astype(np.float64) for p in net.parts()])
-    x, y, on = rng.integers(0, 50, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.random((3, lm.WINDOW)) < 0.7
-    grads, loss = net.gradients(x, y, on)
-    for k, p in enumerate(net.parts()):
-        if k == 0:
-            continue
-        at = tuple(rng.integers(0, s) for s in p.shape)
-        p[at] += 1e-5
-        up = net.gradients(x, y, on)[1]
-        p[at] -= 2e-5
-        down = net.gradients(x, y, on)[1]
-        p[at] += 1e-5
-        assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-4 * max(1, abs(grads[k][at]))
-    i = int(x[0, 3])
-    net.e[i, 2] += 1e-5
-    up = net.gradients(x, y, on)[1]
-    net.e[i, 2] -= 2e-5
-    down = net.gradients(x, y, on)[1]
-    assert abs((up - down) / 2e-5 - grads[0][x == i][:, 2].sum()) < 1e-4
-
-
-def test_model_beats_words_it_doesnt_know(spark):
-    """On held-out documents the model's loss a token is near the base's although many words are unknown; and it has learnt: class order beats frequency."""
+    x, y = rng.integers(0, model.lex.size, (3, lm.WINDOW)), rng.integers(0, model.lex.size, (3, lm.WINDOW))
+    on = rng.random((3, lm.WINDOW)) < 0.7
+    places, grads, _ = model.gradients(x, y, on)
+    for k, p in enumerate(model.net.parts()):
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in (p.shape if k else (len(places), lm.WIDTH)))
+            own = at if k else (places[at[0]], at[1])
+            p[own] += 1e-6
+            up = model.gradients(x, y, on)[2]
+            p[own] -= 2e-6
+            down = model.gradients(x, y, on)[2]
+            p[own] += 1e-6
+            assert abs((up - down) / 2e-6 - grads[k][at]) < 1e-5 * max(1, abs(grads[k][at])), k
+
+
+def test_untrained_model_is_its_prior():
+    ids, first = _ids(CORPUS)
+    rank, row, rows = lm.ranked(np.bincount(ids, minlength=lm.SIZE))
+    pairs = Counter(zip([lm.END if i in first else ids[i - 1] for i in range(len(ids))], ids.tolist(), strict=True))
+    counts = lm.pairs(rank, row, rows, ids, first).reshape(rows, len(row))
+    model = lm.Model.start(*lm.lexicon(rank, row, counts.astype(np.float32)))
+    alone, begun = Counter(ids.tolist()), Counter(b for b, _ in pairs.elements())
+    total = sum(alone.values()) + 0.02 * (len(alone) + 1)
+    wanted = [(pairs[b, w] + lm.PRIOR * (alone[w] + 0.02) / total) / (begun[b] + lm.PRIOR) for b, w in zip([lm.END if i in first else ids[i - 1] for i in range(len(ids))], ids.tolist(), strict=True)]
+    assert np.allclose(model.score(ids, first), np.log10(wanted), atol=1e-4)
+
+
+def test_model_beats_base_on_held_out_documents(spark):
     got = lm_scoring.scored(spark.read.parquet(f"{DATA}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] / got[1] < 1.05
+    assert got[0] > got[1], got
 
 
 def test_every_training_text_trains(spark):
-    """Subwords that one text of many holds alone get a class of their own, and windows of all texts train."""
-    rows = spark.createDataFrame([(f"plain words of text {i}",) for i in range(40)] + [("zebra quartz " * 20,)], "text string").repartition(2)
-    pairs = lm_scoring._counted(rows, Scoring()).filter("kind = 2").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
-    seen = lm_scoring._counted(rows, Scoring()).filter("kind = 1").selectExpr(f"a % {lm.SIZE} as id", "n").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(lm.SIZE)
-    counts[seen["id"]] = seen["n"]
-    of = lm.classes(pairs["a"].to_numpy(), pairs["n"].to_numpy(), counts)
-    assert (of[counts > 0] < lm.CLASSES - 1).all() and (of[counts == 0] == lm.CLASSES - 1).all()
-    net = lm_scoring._started(rows.filter("text like 'plain%'"), 40, of, Scoring(start=1))
-    trained = lm_scoring._trained(rows, spark.sparkContext.broadcast((net, of)), Scoring()).filter("a = 0").agg(F.sum("n")).first()[0]
-    ids = sum(-(-max(0, len(_cut(r["text"])) + 1 - lm.WINDOW) // lm.STRIDE) + 1 for r in rows.collect())
-    assert trained == ids
+    """All subwords of all training texts are in the blocks that train, the counts and the prior's table."""
+    texts = [f"plain words of text {i}" for i in range(40)] + ["zebra quartz " * 20, "", "plain words of text 3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    tokens = lm_scoring._tokens(rows, Scoring()).cache()
+    ids, first = _ids(texts)
+    blocks = tokens.filter("kind = 2")
+    assert blocks.agg(F.sum("a"), F.sum("n")).first() == (len(ids), len(texts))
+    counts = {r["a"]: r["n"] for r in tokens.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).collect()}
+    assert counts == Counter(ids.tolist())
+    rank, row, rows_ = lm.ranked(np.bincount(ids, minlength=lm.SIZE))
+    cells = lm.pairs(rank, row, rows_, ids, first)
+    assert {r["a"]: r["n"] for r in lm_scoring._paired(blocks, rank, row, rows_).collect()} == {int(i): int(cells[i]) for i in np.flatnonzero(cells)}
+    model = _model(texts)
+    trained = lm_scoring._trained(blocks, spark.sparkContext.broadcast(model))
+    assert trained.filter("piece = 0").agg(F.sum("n")).first()[0] == len(ids)
+
+
+def test_weights_are_averaged_up_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FAN", 2)
+    model = _model(CORPUS)
+    size = sum(p.size for p in model.net.parts())
+    rng = np.random.default_rng(2)
+    flats, n = rng.normal(size=(7, size)).astype(np.float32), rng.integers(1, 50, 7)
+    step = 1000
+    monkeypatch.setattr(lm_scoring, "PIECE", step)
+    rows = [(p, k // step, int(n[p]), flats[p, k : k + step].tobytes()) for p in range(7) for k in range(0, size, step)]
+    net = lm_scoring._averaged(spark.createDataFrame(rows, lm_scoring.WEIGHTS), model.net)
+    assert np.allclose(np.concatenate([p.ravel() for p in net.parts()]), (flats * n[:, None]).sum(0) / n.sum(), atol=1e-5)
+    assert lm_scoring._averaged(spark.createDataFrame([], lm_scoring.WEIGHTS), model.net) is model.net
 
 
 def test_first_weights_come_from_whole_texts(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(lm.Net, "train", lambda self, x, *_, **__: seen.append((x != lm.END).sum()))
+    monkeypatch.setattr(lm.Trainer, "train", lambda self, ids, *_, **__: seen.append(len(ids)))
     texts = [f"word{i} " * 5_000 + "quartz" for i in range(6)]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
-    lm_scoring._started(rows, 6, np.zeros(lm.SIZE, np.int64), Scoring())
-    lm_scoring._started(rows, 6, np.zeros(lm.SIZE, np.int64), Scoring(characters=70_000))  # two texts fit, none is cut
-    lm_scoring._started(rows, 6, np.zeros(lm.SIZE, np.int64), Scoring(characters=10))
-    ids = [len(_cut(t)) for t in texts]
-    assert seen[0] >= sum(ids) and 2 * min(ids) <= seen[1] < 3 * min(ids) * 4 / 3 and min(ids) <= seen[2] < 2 * min(ids)
-
-
-def _cut(text):
-    import pyarrow as pa
-
-    from snapledger.llm import words
-
-    (found,) = [w for _, _, w in words.blocks(pa.array([text]))]
-    return lm_scoring._ids(found, lm.Subwords(lm_scoring._path(Scoring())), found.hashes())[0][:-1]
+    for scoring in (Scoring(), Scoring(characters=70_000), Scoring(characters=10)):  # in the second two texts fit, none is cut
+        lm_scoring._started(rows, 6, _model(texts), scoring)
+    n = sorted(len(_ids([t])[0]) for t in texts)
+    assert seen[0] == sum(n) and 2 * n[0] <= seen[1] < 3 * n[0] and n[0] <= seen[2] <= n[-1]

@@ -10,7 +10,7 @@ from .common import table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.entries(spark)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.query_entries(spark)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

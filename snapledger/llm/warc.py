@@ -12,7 +12,7 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ LEAST = 1000
 ARCHIVE_BYTES = 8 << 20
 #: Pages, those with the least hashes, on which the dictionary is trained, bytes of each, and the dictionary's size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16 << 10, 32 << 10
+#: A compressed dictionary without a stated size may have so many bytes.
+MAX_DICTIONARY_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -82,6 +84,16 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def dictionary_of(content: bytes, limit: int = MAX_DICTIONARY_BYTES) -> bytes:
+    """The dictionary that a leading skippable frame holds, as it is or as a Zstandard frame of its own."""
+    if len(content) < 4 or struct.unpack_from("<I", content)[0] != FRAME:
+        return content
+    try:
+        return zstandard.ZstdDecompressor().decompress(content, max_output_size=limit)
+    except zstandard.ZstdError as e:
+        raise WarcError(f"the dictionary's frame: {e}") from e
+
+
 def _loaded(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
     if not dictionary:
         return None
@@ -92,8 +104,11 @@ def _loaded(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 class Writer:
     """Builds archives of about ``limit`` bytes."""
 
-    def __init__(self, dictionary: bytes, limit: int = ARCHIVE_BYTES, level: int = 3):
-        self.lead = struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
+    def __init__(self, dictionary: bytes, limit: int = ARCHIVE_BYTES, level: int = 3, pack: bool = False):
+        """pack: the dictionary is compressed too; so is one that would be taken for a frame otherwise."""
+        pack = pack or dictionary[:4] == struct.pack("<I", FRAME)
+        content = zstandard.ZstdCompressor(level=level).compress(dictionary) if pack else dictionary
+        self.lead = struct.pack("<II", SKIPPABLE, len(content)) + content
         self.limit = limit
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=_loaded(dictionary), write_checksum=True, write_content_size=True)
         self.parts, self.size = [self.lead], 0
@@ -139,7 +154,7 @@ def read_archive(archive: bytes) -> Iterator[bytes]:
     at = 8 + struct.unpack_from("<I", data, 4)[0]
     if at > len(data):
         raise WarcError("the dictionary is cut off")
-    decompressor = zstandard.ZstdDecompressor(dict_data=_loaded(bytes(data[8:at])))
+    decompressor = zstandard.ZstdDecompressor(dict_data=_loaded(dictionary_of(bytes(data[8:at]))))
     while at < len(data):
         end = frame_end(data, at)
         try:
@@ -214,20 +229,20 @@ def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     dictionary = train(sorted(bytes(r[0]) for r in sample if r[0]))
 
     def write(batches):
+        archive = lambda n, data: pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["n_records", "data"])
         writer, n = Writer(dictionary, archive_bytes), 0
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                page = None if pd.isna(row.page_id) else int(row.page_id)
-                to = None if pd.isna(row.refers_to) else int(row.refers_to)
+        for batch in batches:
+            for k in range(batch.num_rows):  # one page at a time; ids stay whole numbers beside nulls
+                page, url_, payload_, digest, to = (column[k].as_py() for column in batch.columns)
                 n += 1
-                if data := writer.add(page_record(page, row.url, row.payload, row.digest, to)):
-                    yield pd.DataFrame({"n_records": [n], "data": [data]})
+                if data := writer.add(page_record(page, url_, payload_, digest, to)):
+                    yield archive(n, data)
                     n = 0
         if data := writer.finish():
-            yield pd.DataFrame({"n_records": [n], "data": [data]})
+            yield archive(n, data)
 
     chosen = marked.select(F.col("page_id"), "url", "payload", "digest", "refers_to")
-    return kept(chosen.mapInPandas(write, "n_records long, data binary"), "warc")
+    return kept(chosen.mapInArrow(write, "n_records long, data binary"), "warc")
 
 
 def read(archives: DataFrame, payload: bool = False) -> DataFrame:
@@ -236,24 +251,25 @@ def read(archives: DataFrame, payload: bool = False) -> DataFrame:
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     block = 500
 
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
+
     def rows(batches):
-        def frame(some: list[dict]) -> pd.DataFrame:
-            out = pd.DataFrame(some, columns=columns)
-            return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        def out(some: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([page[c] for page in some], t) for c, t in zip(columns, types, strict=True)], columns)
 
-        for pdf in batches:
-            for data in pdf["data"]:
+        for batch in batches:
+            for data in batch.column(0):
                 some: list[dict] = []
-                for item in read_archive(data):
+                for item in read_archive(data.as_py()):
                     page = read_page(item)
                     some.append({c: page[c] for c in columns})
                     if len(some) == block:
-                        yield frame(some)
+                        yield out(some)
                         some = []
                 if some:
-                    yield frame(some)
+                    yield out(some)
 
-    return archives.select("data").mapInPandas(rows, schema)
+    return archives.select("data").mapInArrow(rows, schema)
 
 
 ORACLE_SQL = """

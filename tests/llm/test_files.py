@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pytest
 
-from snapledger.llm import bloom, urls, warc
+from snapledger.llm import bloom, queries, urls, warc
 
 # urls
 
@@ -28,9 +28,8 @@ def judged(url, rules, exact, default="allow"):
     return host, path, None if is_exact else entry, verdict, is_exact
 
 
-@pytest.mark.parametrize("lengths,max_bytes", [(urls.MAX_LENGTHS, bloom.MAX_BYTES), (0, 2048)])
-def test_judge(spark, monkeypatch, lengths, max_bytes):
-    monkeypatch.setattr(urls, "MAX_LENGTHS", lengths)
+@pytest.mark.parametrize("max_bytes", [bloom.MAX_BYTES, 2048])
+def test_judge(spark, max_bytes):
     r = random.Random(1)
     hosts = ["com", "x.com", "EXAMPLE.com", "a.example.com", "notexample.com", "example.net", "b.example.net:80", "org.", "", ".com", "é.org", "u@x.org"]
     given = ["/", "", "/en/", "/en/7", "/en/70?x=/de/", "/de/8#a", "/es", "/es/é", "/a\nb"]
@@ -44,6 +43,22 @@ def test_judge(spark, monkeypatch, lengths, max_bytes):
     assert sorted((tuple(x) for x in got.select("page_id", "url", "host", "path", "rule", "verdict", "listed").collect()), key=str) == wanted
 
 
+def test_very_long_urls(spark):
+    """A megabyte of labels, of path, of both: judged in seconds, against rules of many lengths."""
+    many = "http://" + "a." * 500_000 + "example.com" + "/en/7" + "x/" * 250_000
+    rows = [(1, many), (2, many + "?q"), (3, "http://" + "é." * 200_000 + "net"), (4, "http://com/" + "y" * 1_000_000), (5, "://" + "." * 300_000)]
+    rules = [*urls.RULES, ("a.a.example.com", "/en", "block"), *[("com", "/" + "y" * n, "block") for n in range(300)]]
+    exact = [("com", "/" + "y" * 1_000_000, "allow")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge(df, urls.entries(spark, rules, exact)).select("page_id", "url", "host", "path", "rule", "verdict", "listed").collect()
+    assert sorted(map(tuple, got)) == sorted((k, u, *judged(u, rules, exact)) for k, u in rows)
+
+
+def test_pages_meet_listed_urls(spark):
+    got = queries.op1_url_filter(spark, "/root/testdata/sf0.1").filter("listed").collect()
+    assert got and all(x["rule"] is None and x["verdict"] == "block" for x in got)
+
+
 def test_empty_list_and_no_pages(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string, exact boolean")
@@ -85,6 +100,30 @@ def test_archives_round_trip(spark):
     assert warc.read(warc.archived(df.limit(0))).collect() == []
 
 
+def test_large_ids_stay_exact_beside_nulls(spark):
+    """Ids above 2^53 have no float of their own."""
+    a = 9007199254740993
+    rows = [(a, "u", "é" * 600), (a + 2, "u", "é" * 600), (None, "u", "é" * 600), (a + 4, None, None), (None, None, "x"), (a + 6, "u", "y" * 2000)]
+    df = spark.createDataFrame([(*x, "c", "c", "c") for x in rows], PAGES).coalesce(1)
+    got = sorted(((x["page_id"], x["refers_to"], x["record_type"]) for x in warc.read(warc.archived(df)).collect()), key=str)
+    assert got == sorted([(a, a + 2, "revisit"), (a + 2, None, "response"), (None, a + 2, "revisit"), (a + 4, None, "response"), (None, None, "response"), (a + 6, None, "response")], key=str)
+
+
+def test_compressed_dictionaries_are_read():
+    samples = [b"<html><body>page %d of many pages</body></html>" % i * 20 for i in range(60)]
+    for dictionary in (warc.train(samples, 4096), b"raw <html><body>page", b"\x28\xb5\x2f\xfd looks like a frame"):
+        w = warc.Writer(dictionary, pack=True)
+        for s in samples:
+            w.add(s)
+        data = w.finish()
+        assert struct.unpack("<I", data[8:12])[0] == warc.FRAME and list(warc.read_archive(data)) == samples
+    w = warc.Writer(b"\x28\xb5\x2f\xfd looks like a frame")
+    w.add(samples[0])
+    assert list(warc.read_archive(w.finish())) == samples[:1]
+    with pytest.raises(warc.WarcError):
+        warc.dictionary_of(b"\x28\xb5\x2f\xfd broken")
+
+
 def test_broken_archives_are_refused():
     samples = [warc.page_record(i, "http://x/", b"<html>body %d</html>" % i * 40, hashlib.sha1(b"<html>body %d</html>" % i * 40).hexdigest(), None) for i in range(50)]
     for dictionary in (warc.train(samples, 4096), b"raw <html>body", b""):

@@ -3,7 +3,9 @@
 Centroids come from halving a bounded sample again and again, so all lists start equal. Every vector goes to the list
 of its nearest centroid and, if it lies near a boundary, to further lists whose centroids are nearly as near and not
 closer to a chosen one than to the vector. Centroids are found by best-first search in an in-memory graph. A query reads the lists whose
-centroids are within a ratio of the nearest one's distance, a quarter of all lists at most, however many there are. Long lists are dealt over chunks, so a vector that holds a
+centroids are within a ratio of the nearest one's distance, the nearest of them only: about as many as the number of lists to the
+power of two thirds, which is what recall was measured to need while the number of lists grows with the table. A query that finds fewer neighbours than it asked for
+in these reads all lists. Long lists, and lists that many queries read, are dealt over cells of bounded size, so a vector that holds a
 third of all rows is no task's burden; scores are exact, in double precision, on the original vectors.
 """
 
@@ -22,18 +24,19 @@ from .common import kept, least_hashed
 
 @dataclass(frozen=True)
 class Index:
-    """sample: vectors the centroids are fitted on, those with the least hashes. rows: a list should hold. centroids: at
-    most. copies, spread: a vector goes to at most so many lists, within so many times the nearest distance. probes, ratio: the same for
-    a query's lists, but at most a ``share`` of all lists where that is more than probes. degree, beam: of the graph and its search. chunk: rows of a list that one task holds."""
+    """sample: vectors the centroids are fitted on, those with the least hashes, and their ``components`` in all, at most. rows: a list should hold. centroids: at
+    most, an eighth of the sample. copies, spread: a vector goes to at most so many lists, within so many times the nearest distance. ratio: the same distance for
+    a query's lists, of which it reads at most ``probes`` times the lists' number to the ``power``. degree, beam: of the graph and its search. chunk: rows of a list, and queries, that meet in one cell."""
 
-    sample: int = 16_384
+    sample: int = 65_536
+    components: int = 1 << 24
     rows: int = 64
     centroids: int = 8_192
     copies: int = 4
-    spread: float = 1.2
-    probes: int = 64
-    share: float = 0.25
-    ratio: float = 1.6
+    spread: float = 1.15
+    probes: float = 1.4
+    power: float = 2 / 3
+    ratio: float = 1.4
     degree: int = 24
     beam: int = 96
     chunk: int = 4_096
@@ -80,7 +83,7 @@ class Graph:
         rng = np.random.default_rng(seed)
         self.edges = np.concatenate([edges, rng.integers(n, size=(n, 4))], 1)
         self.entries = rng.permutation(n)[: min(n, 32)]
-        self.beam = min(beam, n)
+        self.beam = beam
 
     def every(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``most`` nearest centroids of each row of x and their distances on the unit sphere, nearest first; all centroids are compared."""
@@ -88,7 +91,7 @@ class Graph:
         ids = np.argsort(-sims, axis=1, kind="stable")[:, :most]
         return ids, np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, ids, 1), 0))
 
-    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` best centroids found for each row of x and their distances on the unit sphere, nearest first."""
         x, n = x.astype(np.float32), len(self.c)
         m = len(x)
@@ -98,7 +101,7 @@ class Graph:
         sims = x @ self.c[self.entries].T
         done = np.zeros(ids.shape, bool)
         rows = np.arange(m)[:, None]
-        for _ in range(4 * self.beam):
+        for _ in range(4 * beam):
             open_ = np.where(done, -np.inf, sims)
             best = np.argsort(-open_, axis=1)[:, :4]
             alive = np.isfinite(open_[rows, best])
@@ -119,7 +122,7 @@ class Graph:
             seen[r, fresh[r, c]] = True
             near = np.where(fresh_ok, np.einsum("mkd,md->mk", self.c[fresh], x), -np.inf)
             ids, sims, done = np.concatenate([ids, fresh], 1), np.concatenate([sims, near], 1), np.concatenate([done, ~fresh_ok], 1)
-            keep = np.argsort(-sims, axis=1, kind="stable")[:, : self.beam]
+            keep = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
             ids, sims, done = (np.take_along_axis(a, keep, 1) for a in (ids, sims, done))
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
@@ -129,7 +132,8 @@ class Graph:
         """Rows of x and the lists they go to: those within ``ratio`` of the nearest distance; ``apart`` leaves out centroids that lie nearer to a chosen one than to the row."""
         of, to = [], []
         for i in range(0, len(x), 512):
-            ids, far = self.search(x[i : i + 512]) if most <= self.beam // 2 else self.every(x[i : i + 512], most)
+            beam = max(self.beam, 3 * most // 2)
+            ids, far = self.search(x[i : i + 512], beam) if beam < len(self.c) else self.every(x[i : i + 512], len(self.c))
             m, k = ids.shape
             chosen = np.zeros((m, k), bool)
             chosen[:, 0] = True
@@ -191,19 +195,22 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
     """Each query's k nearest found: ``query_id``, ``rank`` (from 1), key, ``score`` (cosine).
 
     ``queries``: SQL condition on ``id`` that says which rows are queries. All usable rows are indexed and searched; a
-    row isn't a candidate of queries with its own id, and repeated rows of one id count once. Fewer usable rows give fewer neighbours; an empty
+    row isn't a candidate of queries with its own id, and repeated rows of one id count once. Equal scores go to the smaller id. Fewer usable rows give fewer neighbours; an empty
     table gives none. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     rows = kept(usable(embeddings, key, vector).distinct(), "ann-rows")
-    sample = least_hashed(rows, "id", index.sample).select("v").collect()
-    total = rows.count() if len(sample) == index.sample else len(sample)
-    if not total:
+    one = rows.select(F.size("v")).first()
+    if one is None:
         return spark.range(0).selectExpr("id as query_id", "cast(0 as int) as rank", f"id as `{key}`", "cast(0 as double) as score")
-    x = unit(np.array([r["v"] for r in sample]))
+    size = min(index.sample, max(1, index.components // one[0]))
+    sample = least_hashed(rows, "id", size).select("v").toPandas()["v"]
+    total = rows.count() if len(sample) == size else len(sample)
+    x = unit(np.stack(sample.to_numpy()))
     want = min(index.centroids, len(x) // 8, total // index.rows)
     leaves = 1 << max(0, want.bit_length() - 1) if want > 0 else 1
     graph = spark.sparkContext.broadcast(Graph(halved(x, leaves, np.random.default_rng(7)), index.degree, index.beam))
+    most = min(leaves, int(np.ceil(index.probes * leaves**index.power)))
 
     def assign(most: int, ratio: float, apart: bool):
         def run(batches):
@@ -214,13 +221,31 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
 
         return run
 
-    posting = "list long, id long, v array<double>"
-    lists = kept(rows.mapInPandas(assign(index.copies, index.spread, True), posting), "ann-lists")
-    asked = rows.filter(queries).mapInPandas(assign(max(index.probes, int(leaves * index.share)), index.ratio, False), posting)
-    chunks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(index.chunk)).cast("int").alias("chunks"))  # a row for each centroid at most
-    chunks = F.broadcast(chunks)
-    dealt = lists.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.col("chunks")).cast("int")).drop("chunks")
-    spread = asked.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    lists = kept(rows.mapInPandas(assign(index.copies, index.spread, True), POSTING), "ann-lists")
+    queries_ = rows.filter(queries)
+    found = kept(_found(lists, kept(queries_.mapInPandas(assign(most, index.ratio, False), POSTING), "ann-asked"), k, index.chunk), "ann-found")
+    if leaves > 1:
+        enough = found.groupBy("query_id").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"))
+        short = kept(queries_.join(enough, "id", "left_anti"), "ann-short")
+        if not short.isEmpty():
+            every = short.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(leaves - 1).cast("long")))).select("list", "id", "v")
+            found = found.unionByName(_found(lists, every, k, index.chunk))
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+POSTING = "list long, id long, v array<double>"
+
+
+def _found(lists: DataFrame, asked: DataFrame, k: int, chunk: int) -> DataFrame:
+    """(query_id, id, score): for each query asked of a list, its k nearest there. A list's rows and queries are dealt over chunks, and each chunk of rows meets each chunk of queries in a cell of its own."""
+    chunks = lambda df, name: F.broadcast(df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias(name)))  # noqa: E731  a row for each centroid at most
+    rows, queries = chunks(lists, "_rows"), chunks(asked, "_queries")
+    part = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lists.join(queries, "list").join(rows, "list").withColumn("row", part("_rows")).withColumn("query", every("_queries")).drop("_rows", "_queries")
+    spread = asked.join(rows, "list").join(queries, "list").withColumn("query", part("_queries")).withColumn("row", every("_rows")).drop("_rows", "_queries")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [np.empty(0, np.int64)], "id": [np.empty(0, np.int64)], "score": [np.empty(0)]}
@@ -234,7 +259,5 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
                     out[name].append(a)
         return pd.DataFrame({name: np.concatenate(a) for name, a in out.items()})
 
-    found = dealt.groupBy("list", "chunk").cogroup(spread.groupBy("list", "chunk")).applyInPandas(search, "query_id long, id long, score double")
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    cell = ("list", "row", "query")
+    return dealt.groupBy(*cell).cogroup(spread.groupBy(*cell)).applyInPandas(search, "query_id long, id long, score double")

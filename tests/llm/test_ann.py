@@ -1,6 +1,6 @@
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from snapledger.llm import ann
 from snapledger.llm.queries import op9_nearest_neighbours
@@ -60,22 +60,49 @@ def test_long_lists_are_dealt_over_chunks(spark):
     assert [i for i, _ in got[50]] == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("sf", ["sf0.1", "check_s"])
-def test_recall(spark, sf):
-    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
-    got = op9_nearest_neighbours(spark, f"/root/testdata/{sf}").groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()
-    pdf = df.select("vec_id", "embedding").toPandas()
-    ids, x = pdf["vec_id"].to_numpy(), ann.unit(np.stack(pdf["embedding"].to_numpy()))
-    place = {int(i): k for k, i in enumerate(ids)}
-    found = total = 0
-    for r in got:
-        s = x @ x[place[r["query_id"]]]
-        s[place[r["query_id"]]] = -2
-        best = set(ids[np.argsort(-s, kind="stable")[:5]].tolist())
-        found += len(best & set(r["ids"]))
-        total += 5
-    assert len(got) == (ids % 50 == 0).sum() and found / total >= 0.9, found / total
-    print(sf, "recall", found / total)
+def recall(got, x):
+    """Share of the true neighbours found; row i of x has id i, scaled to unit length."""
+    found = 0
+    for q, near in got.items():
+        s = x @ x[q]
+        s[q] = -2
+        found += len({i for i, _ in near} & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    return found / (5 * len(got))
+
+
+def test_recall_of_the_query(spark):
+    pdf = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    assert pdf["vec_id"].tolist() == list(range(len(pdf)))
+    got = {}
+    for r in op9_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert len(got) == len(pdf) // 50 and recall(got, ann.unit(np.stack(pdf["embedding"].to_numpy()))) >= 0.95
+
+
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_recall_on_many_lists_without_reading_most(spark, clusters):
+    """51,200 made vectors, 512 lists, read as registered: in no direction in particular, the hardest case, and in clusters."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(51_200, 64))
+    if clusters:
+        x = 0.3 * x + rng.normal(size=(clusters, 64))[rng.integers(clusters, size=len(x))]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    got = {}
+    for r in ann.nearest(df, "id % 400 = 0").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert len(got) == 128 and recall(got, ann.unit(x)) >= (0.9 if not clusters else 0.97)
+    index = ann.INDEX
+    graph = ann.Graph(ann.halved(ann.unit(x), 512, np.random.default_rng(7)), index.degree, index.beam)
+    read, _ = graph.lists(ann.unit(x[::400]), int(np.ceil(index.probes * 512**index.power)), index.ratio, False)
+    assert len(read) / 128 <= (90 if not clusters else 30)  # of 512: the ratio prunes where there is something to prune by
+
+
+def test_queries_that_find_too_few_read_all_lists(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(256)]
+    got = run(spark, rows, k=60, index=ann.Index(rows=1, probes=0.01))  # 32 lists, of which a query reads one
+    wanted = brute(rows, lambda i: i % 50 == 0, 60)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in wanted.items()}
 
 
 def test_repeated_ids_leave_room_for_others(spark):
@@ -86,14 +113,8 @@ def test_repeated_ids_leave_room_for_others(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in wanted.items()}
 
 
-def test_recall_holds_with_all_lists(spark):
+def test_recall_holds_with_2048_lists(spark):
     rng = np.random.default_rng(6)
     rows = [(i, v) for i, v in enumerate(rng.normal(size=(16_384, 32)).tolist())]
-    got = run(spark, rows, "id % 200 = 0", index=ann.Index(rows=8))  # 2,048 lists
-    x = ann.unit(np.float32([v for _, v in rows]))
-    found = 0
-    for q, near in got.items():
-        s = x @ x[q]
-        s[q] = -2
-        found += len({i for i, _ in near} & set(np.argsort(-s, kind="stable")[:5].tolist()))
-    assert len(got) == 82 and found / (5 * len(got)) >= 0.98, found / (5 * len(got))
+    got = run(spark, rows, "id % 200 = 0", index=ann.Index(rows=8))
+    assert len(got) == 82 and recall(got, ann.unit(np.float32([v for _, v in rows]))) >= 0.95

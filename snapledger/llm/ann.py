@@ -33,10 +33,10 @@ class Index:
     rows: int = 64
     centroids: int = 8_192
     copies: int = 4
-    spread: float = 1.15
+    spread: float = 1.2
     probes: float = 1.4
     power: float = 2 / 3
-    ratio: float = 1.4
+    ratio: float = 1.6
     degree: int = 24
     beam: int = 96
     chunk: int = 4_096

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, ROLE, END_ROLE, SEP = "<s>", "</s>", "[ROLE]", "[/ROLE]", "[SEP]"
 NAMES = r"/?s>|/?ROLE\]|SEP\]|/?INST\]"
 ASSISTANT = "assistant"
+#: Pieces over which spans are summed at once.
+CHUNK = 1024
 
 
 def escape(text: Column) -> Column:
@@ -25,17 +27,16 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*)({NAMES})", "$1$2$3")
 
 
-def _merged(turns: Column) -> Column:
-    """Sorted turns as blocks: role and the texts of adjacent turns with that role."""
-    zero = F.array().cast("array<struct<role:string,texts:array<string>>>")
+def _starts(turns: Column) -> Column:
+    """Places of sorted turns whose role isn't that of the turn before."""
+    role = lambda i: F.get(turns, i)["role"]
+    return F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        fresh = F.concat(acc, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((F.size(acc) > 0) & (last["role"] == t["role"]), longer).otherwise(fresh)
 
-    return F.aggregate(turns, zero, step)
+def _merged(turns: Column, starts: Column) -> Column:
+    """Sorted turns as blocks: role and the texts of adjacent turns with that role. Every turn is copied once."""
+    texts = lambda s, j: F.transform(F.slice(turns, s + 1, F.coalesce(F.get(starts, j + 1), F.size(turns)) - s), lambda t: t["text"])
+    return F.transform(starts, lambda s, j: F.struct(F.get(turns, s)["role"].alias("role"), texts(s, j).alias("texts")))
 
 
 def _pieces(block: Column) -> Column:
@@ -49,26 +50,35 @@ def _pieces(block: Column) -> Column:
     return F.concat(F.array(head), F.flatten(texts), F.array(F.struct(F.lit(CLOSE + "\n").alias("text"), F.lit(False).alias("loss"))))
 
 
+def _spans(pieces: Column) -> Column:
+    """Where pieces that bear loss lie. Sums run over chunks of CHUNK pieces, then over chunks, so no array grows by one again and again."""
+    none = F.array().cast("array<struct<at:int,length:int>>")
+    size = lambda p: F.length(p["text"])
+    step = lambda acc, p: F.struct(
+        (acc["at"] + size(p)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("at"), size(p).alias("length"))))).otherwise(acc["spans"]).alias("spans")
+    )
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / F.lit(CHUNK)).cast("int")), lambda c: F.aggregate(F.slice(pieces, c * CHUNK + 1, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    shifted = lambda acc, c: F.array(F.transform(c["spans"], lambda s: F.struct((s["at"] + acc["at"]).alias("at"), s["length"].alias("length"))))
+    return F.aggregate(
+        chunks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<at:int,length:int>>>").alias("spans")),
+        lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["spans"], shifted(acc, c)).alias("spans")),
+        lambda acc: F.flatten(acc["spans"]),
+    )
+
+
 def formatted(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: conv, ``formatted`` and ``loss_spans``, structs of ``at`` (from 0) and ``length`` in code points that cover assistants' texts.
 
     Turns are in order of ``turn``, null first; turns of equal number are in order of role, then text, so repeated rows are all kept, side by
     side. Null roles and texts count as empty. Rows with a null conversation form one conversation. A conversation is
-    one row of output, so its turns meet in one task; nothing else does. Other columns are ignored. An empty table gives no rows.
+    one row of output, so its turns meet in one task; nothing else does. Cost grows with a conversation's length, not its square. Other columns are ignored. An empty table gives no rows.
     """
     one = F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     turns = conversations.groupBy(F.col(f"`{conv}`").alias(conv)).agg(F.sort_array(F.collect_list(one)).alias("_turns"))
-    pieces = turns.select(conv, F.flatten(F.transform(_merged(F.col("_turns")), _pieces)).alias("_pieces"))
-    place = F.aggregate(
-        F.col("_pieces"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,length:int>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("at"), F.length(p["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return pieces.select(conv, F.array_join(F.transform("_pieces", lambda p: p["text"]), "").alias("formatted"), place.alias("loss_spans"))
+    turns = turns.select(F.col(f"`{conv}`"), "_turns", _starts(F.col("_turns")).alias("_starts"))
+    pieces = turns.select(F.col(f"`{conv}`"), F.flatten(F.transform(_merged(F.col("_turns"), F.col("_starts")), _pieces)).alias("_pieces"))
+    return pieces.select(F.col(f"`{conv}`"), F.array_join(F.transform("_pieces", lambda p: p["text"]), "").alias("formatted"), _spans(F.col("_pieces")).alias("loss_spans"))
 
 
 def turns_of(text: Column) -> Column:

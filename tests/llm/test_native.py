@@ -125,8 +125,9 @@ def contaminated(rows, items, window=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [decontamination.MAX_WINDOWS, 0])
-def test_hits_equal_brute_force(spark, limit):
+@pytest.mark.parametrize("options", [{}, {"max_windows": 40}, {"max_windows": 7, "max_hashes": 0}])
+def test_hits_equal_brute_force(spark, options):
+    """With one slice of the set; with several, after windows that don't occur are left out by a broadcast, or by a shuffle."""
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)] + ["Ünï", "x-y", "don't"]
     items = [(i, " ".join(r.choices(vocabulary, k=r.choice([1, 2, 3, 5, 12, 13, 14, 30])))) for i in range(30)] + [(5, "w1 w2 w3 w4"), (50, None), (51, ""), (52, "--"), (None, "only null here"), (60, "One"), (61, "w3, W4")]
@@ -141,11 +142,11 @@ def test_hits_equal_brute_force(spark, limit):
     df = docs(spark, [(k, t, "s") for k, t in rows])
     bench = spark.createDataFrame([(k, t, "clash") for k, t in items], "item_id long, text string, n_hit string")
     items_ = [("" if k is None else k, t) for k, t in items]
-    got = decontamination.hits(df, bench, max_windows=limit).collect()
+    got = decontamination.hits(df, bench, **options).collect()
     assert sorted(((x["doc_id"], x["n_words"], x["n_hit"], ",".join(x["items"]), x["contaminated"]) for x in got), key=str) == contaminated(rows, items_)
-    left = decontamination.without_documents(df, bench, max_windows=limit)
+    left = decontamination.without_documents(df, bench, **options)
     assert left.columns == df.columns and sorted((x["doc_id"] for x in left.collect()), key=str) == sorted((x[0] for x in contaminated(rows, items_) if not x[4]), key=str)
-    cut = {x["doc_id"]: x["text"] for x in decontamination.without_spans(df.filter("doc_id < 120"), bench, max_windows=limit).collect()}
+    cut = {x["doc_id"]: x["text"] for x in decontamination.without_spans(df.filter("doc_id < 120"), bench, **options).collect()}
     for x in got:
         if x["doc_id"] is not None and x["doc_id"] < 120 and x["doc_id"] != 3:
             assert len(toks(cut[x["doc_id"]])) == x["n_words"] - x["n_hit"]
@@ -153,6 +154,23 @@ def test_hits_equal_brute_force(spark, limit):
                 assert cut[x["doc_id"]] == dict(rows)[x["doc_id"]]
 
 
+def test_odd_rows_of_cut_texts(spark):
+    """Nulls, repeated rows, clashing names, a very long text, no benchmark, no rows."""
+    long_ = "one two three " + "filler " * 200_000 + "one two three"
+    rows = [(1, "x One, two: three! y", "a"), (1, "x One, two: three! y", "a"), (None, "one two three", "b"), (2, None, "c"), (3, "", None), (4, long_, "d")]
+    df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, _spans string, _md5 string")
+    bench = spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string")
+    cut = decontamination.without_spans(df, bench)
+    assert cut.columns == df.columns
+    got = sorted(((x["doc_id"], x["text"], x["_spans"]) for x in cut.collect()), key=str)
+    assert got == sorted([(1, "x y", "a"), (1, "x y", "a"), (None, "", "b"), (2, None, "c"), (3, "", None), (4, "filler " * 200_000, "d")], key=str)
+    none = bench.limit(0)
+    assert sorted(map(str, decontamination.without_spans(df, none).collect())) == sorted(map(str, df.collect()))
+    assert decontamination.without_spans(df.limit(0), bench).collect() == [] and decontamination.without_documents(df.limit(0), bench).collect() == []
+    assert sorted((x["doc_id"] for x in decontamination.without_documents(df, bench).collect()), key=str) == [2, 3, 4]
+    assert {x["doc_id"]: (x["n_words"], x["n_hit"]) for x in decontamination.hits(df, bench).collect()} == {1: (5, 3), None: (3, 3), 2: (0, 0), 3: (0, 0), 4: (200_006, 6)}
+
+
 def test_empty_tables(spark):
     df, none = docs(spark, [(1, "a b", "s")]), spark.createDataFrame([], "item_id long, text string")
     assert [(x["n_words"], x["n_hit"]) for x in decontamination.hits(df, none).collect()] == [(2, 0)]
@@ -179,6 +197,18 @@ def test_chat_round_trip(spark):
     assert out.count() == 5 and chat.formatted(df.limit(0)).collect() == []
 
 
+def test_very_long_conversation(spark):
+    """20,000 turns in blocks of one and of many, and a long text."""
+    r = random.Random(6)
+    rows = [(1, t, "user" if t % 7 < 3 else "assistant", f"<s>{t}" + "é" * r.choice([0, 1, 9])) for t in range(20_000)] + [(2, 0, "assistant", "x" * 3_000_000)]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    for x in chat.digest(out).collect():
+        own = [y for y in rows if y[0] == x["conv_id"]]
+        loss = "".join(y[3] for y in own if y[2] == "assistant")
+        assert x["n_turns"] == len(own) and x["turns_sha256"] == hashlib.sha256("".join(f"{y[2]}\n{y[3]}\n" for y in own).encode()).hexdigest()
+        assert x["loss_chars"] == len(loss) and x["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_escape_is_reversible(spark):
     r = random.Random(3)
     texts = ["".join(r.choices(["<", "[", "\\", "s>", "/s>", "ROLE]", "/ROLE]", "SEP]", "INST]", "x", " "], k=12)) for _ in range(500)]

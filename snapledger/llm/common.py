@@ -30,10 +30,13 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. Where the session names none and runs in this process, as in tests, one of our own; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = spark.conf.get("spark.snapledger.shared.dir", None)
     if not made:
         made = "file://" + tempfile.mkdtemp(prefix="snapledger-")
@@ -85,6 +88,17 @@ def frequent(counts: DataFrame, count: str, n: int) -> DataFrame:
     return counts.filter(F.col(count) >= least)
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner", parts: int = 1_000) -> DataFrame:
+    """Join rows, ``total`` of them, with a large table that has one row for each key and says in ``count`` how many rows have it.
+
+    Keys of more than one in ``parts`` rows, fewer than parts, are broadcast, so their rows stay where they are; the others are joined by shuffling.
+    """
+    hot = F.col(count) > F.lit(max(1, total // parts))
+    some = keyed.filter(hot)
+    cold = rows.join(F.broadcast(some.select(key)), key, "left_anti").join(keyed.filter(~hot), key, how)
+    return rows.join(F.broadcast(some), key).unionByName(cold)
+
+
 def join_small(rows: DataFrame, small: DataFrame, key: str, how: str = "left", bound: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Join rows, whose keys may be hot, with a table that has one row for each key.
 

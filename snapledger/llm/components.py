@@ -5,38 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import join_hot, kept
 
 ROUNDS = 64
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_hot(both, least, "a", "n", 2 * total).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_hot(down, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b), where component is the least node. Loops and repeated edges are fine; no edges give no rows.
 
-    Each round is written to the shared folder. Nodes with very many edges meet a table of one row for each node in a
-    join that adaptive execution splits.
+    Each round is written to the shared folder. What nodes with very many edges meet is broadcast, so no task gets all edges of one.
     """
     now = kept(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    mark = None
+    mark, total = None, now.count()
     for _ in range(ROUNDS):
-        now = kept(_small_star(_large_star(now)), "stars")
+        now = kept(_small_star(kept(_large_star(now, total), "large-stars"), total), "stars")
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break
-        mark = seen
+        mark, total = seen, seen[0]
     else:
         raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

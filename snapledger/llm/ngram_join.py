@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, words
-from .common import frequent, join_small, kept, packed, unpacked
+from .common import frequent, join_hot, join_small, kept, packed, unpacked
 from .components import components
 from .occurrence import forest, least_size
 
@@ -62,7 +62,7 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _described(docs: DataFrame, join: Join) -> DataFrame:
-    """Rows of two kinds: documents (id, class, number of shingles), and shingles that recur within a partition (shingle, count, 0 as kind)."""
+    """Rows of two kinds: documents (id, class, number of shingles, digest of the text), and shingles that recur within a partition (shingle, count, 0 as kind)."""
 
     def run(batches):
         pending, size, seen = [], 0, set()
@@ -70,14 +70,14 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
         def recurring():
             token, count = np.unique(np.concatenate(pending), return_counts=True)
             own = count >= 2
-            return _rows(kind=np.ones(int(own.sum()), np.int8), a=token[own].view(np.int64), b=count[own].astype(np.int64), n=np.zeros(int(own.sum()), np.int64))
+            return _rows(kind=np.ones(int(own.sum()), np.int8), a=token[own].view(np.int64), b=count[own].astype(np.int64), n=np.zeros(int(own.sum()), np.int64), t=np.zeros(int(own.sum()), np.int64))
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, digests = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
             for begin, end, found in words.blocks(batch.column(1)):
                 s, at = words.shingles(found.hashes(), found.first, join.shingle)
                 of, n = _class_of(s, at), np.diff(at)
-                yield _rows(kind=np.zeros(end - begin, np.int8), a=ids[begin:end], b=of, n=n)
+                yield _rows(kind=np.zeros(end - begin, np.int8), a=ids[begin:end], b=of, n=n, t=digests[begin:end])
                 fresh = []
                 for i, c in enumerate(of.tolist()):
                     if c not in seen:
@@ -91,7 +91,7 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
         if size:
             yield recurring()
 
-    return docs.mapInArrow(run, "kind tinyint, a long, b long, n long")
+    return docs.select("id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "kind tinyint, a long, b long, n long, t long")
 
 
 class _Order:
@@ -116,7 +116,7 @@ class _Order:
 
 
 def _recurring(docs: DataFrame, limit: int, join: Join) -> DataFrame:
-    """Shingles below ``limit`` that more than one class has, or one class in more than one partition."""
+    """Shingles below ``limit`` that more than one class has, or one class in more than one partition. Counted in part before they are shuffled, so a hot one is a row of each task."""
 
     def low(batches):
         seen = set()
@@ -132,13 +132,7 @@ def _recurring(docs: DataFrame, limit: int, join: Join) -> DataFrame:
                 if out:
                     yield _rows(token=np.concatenate(out).view(np.int64))
 
-    def again(batches):
-        every = [b.column(0).to_numpy() for b in batches]
-        if every:
-            s = np.sort(np.concatenate(every))
-            yield _rows(token=np.unique(s[1:][s[1:] == s[:-1]]))
-
-    return docs.mapInArrow(low, "token long").repartition("token").mapInArrow(again, "token long")
+    return docs.mapInArrow(low, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
 
 
 def _first(s: np.ndarray, ranks: np.ndarray, keep: int) -> np.ndarray:
@@ -254,23 +248,19 @@ def _links(texts: DataFrame, join: Join) -> DataFrame:
     return texts.groupBy("task").applyInArrow(search, "a long, b long")
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
-    """For each row of docs: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links, its own included.
-
-    Documents without words, null texts among them, have no shingles and no links. Documents with equal sets are linked. Rows that share a
-    key are linked only if their texts are. A null key sorts after all others and stays null. Other columns are ignored; an empty table gives no rows.
-    """
+def _named(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
+    """(id, t, n, component, component_id) for each row of docs: its key, the digest of its text, how many shingles it has, and its group, by a class in it and by its smallest key."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
     described = kept(_described(rows, join), "described")
-    documents = described.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), "n")
+    documents = described.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), "n", "t")
     recurring = described.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("count"))
     top = frequent(kept(recurring.filter("count >= 3"), "counts"), "count", join.frequent).toPandas()
     limit = int(join.low * 2**64)
     words_ = bloom.build(kept(_recurring(rows, limit, join), "recurring"), "token", join.filter_bytes, hashed=True)
     order = spark.sparkContext.broadcast(_Order(top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64), words_, limit))
 
-    classes = kept(documents.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
+    classes = kept(documents.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     candidates = components(_neighbours(_postings(rows, order, join), join.percent))
     nodes = kept(candidates.join(classes, "node"), "candidates")
     wanted = kept(nodes.select("node", "id").join(_blocks(nodes, join), "node").select("id", "node", "task", "side"), "blocks")
@@ -278,16 +268,39 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", join: Join
     linked = components(links)
 
     named = linked.join(classes, "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    named = linked.join(named, "component").select("node", "component_id")
-    named = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
-    out = documents.join(named, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
+    named = linked.join(named, "component")
+    named = classes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "id").alias("component_id"), "copies")
+    named = kept(named, "groups")
+    some = join_hot(documents.filter("n > 0"), named, "node", "copies", documents.count()).drop("copies", "node")
+    none = documents.filter("n = 0").select("t", "id", "n", F.lit(0).cast("long").alias("component"), F.col("id").alias("component_id"))
+    return some.unionByName(none)
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
+    """For each row of docs: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links, its own included.
+
+    Documents without words, null texts among them, have no shingles and no links. Documents with equal sets are linked. Rows that share a
+    key are linked only if their texts are. A null key sorts after all others and stays null. Other columns are ignored; an empty table gives no rows.
+    """
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(null("id").alias(key), F.col("n").alias("n_shingles"), null("component_id").alias("component_id"))
+    return _named(docs, key, text, join).select(null("id").alias(key), F.col("n").alias("n_shingles"), null("component_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
-    """Rows of docs that name their group, unchanged: the document with the smallest key of each group stays. Rows with a null key stay."""
-    gone = grouped(docs, key, text, join).filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_id")).distinct()
-    gone = kept(gone.withColumn("_gone", F.lit(True)), "near-copies")
-    left = join_small(packed(docs).withColumn("_id", F.col("_row").getField(key).cast("long")), gone, "_id", salts=1).filter(F.col("_gone").isNull())
+    """One row of each group, unchanged: one with the smallest key, null keys last, and among those one with the least digest of its text.
+
+    Documents without words are in no group and stay, every row. Of repeated rows one stays. Rows are told apart by key and text, so other
+    texts under the key of a copy stay. Text is shuffled only where key and text are repeated, one row of each task.
+    """
+    named = kept(_named(docs, key, text, join).filter("n > 0"), "named")
+    first = named.groupBy("component").agg(F.min(F.struct("id", "t")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    name = F.concat_ws(":", "id", "t")
+    many = join_hot(named, kept(first.filter("copies > 1"), "firsts"), "component", "copies", named.count())
+    marked = many.groupBy(name.alias("_name")).agg(F.first((F.col("first.id") == F.col("id")) & (F.col("first.t") == F.col("t"))).alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    marked = kept(marked.filter("not _stays or _n > 1"), "near-copies")
+    row = F.col("_row")
+    own = F.concat_ws(":", F.coalesce(row.getField(key).cast("long"), F.lit(NULL_ID)), F.xxhash64(row.getField(text)))
+    rows = join_small(packed(docs).withColumn("_name", own), marked.select("_name", "_stays"), "_name", salts=1)
+    once = rows.filter(F.col("_stays").isNull()).select("_row")
+    left = once.unionByName(rows.filter("_stays").groupBy("_name").agg(F.first("_row").alias("_row")).select("_row"))
     return left.select(*unpacked(left, docs.columns))

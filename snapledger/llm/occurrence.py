@@ -15,8 +15,8 @@ import numpy as np
 
 #: Weight of a merged list's logarithmic length in the choice of L.
 MU = 0.02
-#: Postings up to which short lists are merged with a heap; more are counted in one pass over them.
-HEAP = 64
+#: Other sets' postings up to which short lists are merged with a heap; more are sorted and counted at once, which gives the same counts.
+HEAP = 1024
 #: Binary searches made at once.
 PROBES = 1 << 20
 
@@ -56,19 +56,18 @@ class Index:
         order = np.argsort(lengths, kind="stable")
         skip = min(need - 1, int(need / (MU * math.log2(int(lengths.max()) + 1) + 1)))
         short, long_ = lists[order[: len(lists) - skip]], lists[order[len(lists) - skip :]]
-        begin, count = self.begin[short], lengths[order[: len(lists) - skip]]
+        short = short[lengths[order[: len(lists) - skip]] > 1]  # the others hold this set alone
+        begin = np.searchsorted(self.keys, short * self.n + low)
+        count = np.searchsorted(self.keys, short * self.n + i) - begin
+        begin, count = begin[count > 0], count[count > 0]
         total = int(count.sum())
         if total <= HEAP:
-            runs = [self.postings[b : b + c].tolist() for b, c in zip(begin, count, strict=True) if c > 1]
-            found = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*runs)) if low <= k < i]
+            runs = [self.postings[b : b + c].tolist() for b, c in zip(begin.tolist(), count.tolist(), strict=True)]
+            found = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*runs))]
             ids, counts = np.array([k for k, _ in found], np.int64), np.array([c for _, c in found], np.int64)
         else:
             place = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
-            own = self.postings[place]
-            tally = np.bincount(own[(own >= low) & (own < i)] - low, minlength=1)
-            ids = np.flatnonzero(tally)
-            counts = tally[ids]
-            ids = ids + low
+            ids, counts = np.unique(self.postings[place], return_counts=True)
         keep = counts >= need - skip
         return ids[keep], counts[keep], long_
 
@@ -94,6 +93,7 @@ def forest(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     index = Index([sets[k] for k in order])
     tree = np.arange(index.n)
+    members: dict[int, list[int]] = {}
     side = None if sides is None else np.asarray(sides)[order]
     out: list[tuple[int, int]] = []
     for i in range(index.n):
@@ -113,7 +113,13 @@ def forest(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
             continue
         shared = counts + index.probe(ids, long_)
         for j in ids[(100 + percent) * shared >= percent * (n + index.sizes[ids])]:
-            if tree[j] != tree[i]:
-                tree[tree == tree[j]] = tree[i]
+            a, b = int(tree[i]), int(tree[j])
+            if a != b:
+                first, second = members.pop(a, [a]), members.pop(b, [b])
+                if len(first) < len(second):  # the smaller tree takes the other's name
+                    a, first, second = b, second, first
+                tree[second] = a
+                first += second
+                members[a] = first
                 out.append((order[i], order[int(j)]))
     return out

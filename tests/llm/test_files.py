@@ -154,3 +154,17 @@ def test_bad_records_are_refused():
             warc.read_page(bad)
     with pytest.raises(warc.WarcError):
         warc.record([("X", "a\r\nY: b")], b"")
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from snapledger.llm import common
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext = type("C", (), {"master": master})
+            self.conf = type("F", (), {"get": staticmethod(lambda k, d: named if k == "spark.checkpoint.dir" else "file:///own"), "set": staticmethod(lambda k, v: None)})
+
+    assert common.shared_dir(Session("local[4]")) == "file:///own" and common.shared_dir(Session("spark://x", "hdfs://shared")) == "hdfs://shared"
+    for master in ("spark://x", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Session(master))

@@ -95,7 +95,45 @@ def test_long_text_is_read_to_its_end(spark):
 
 def test_one_of_each_keeps_the_least(spark):
     df = spark.createDataFrame([(5, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (7, "h i j k l", "z"), (8, None, "n"), (None, "h i j k l", "q")], SCHEMA)
-    assert sorted((r[0] for r in ngram_join.one_of_each(df).collect()), key=str) == [2, 7, 8, None]
+    assert sorted((r[0] for r in ngram_join.one_of_each(df).collect()), key=str) == [2, 7, 8]
+
+
+def test_one_of_each_tells_rows_apart_by_key_and_text(spark):
+    """Repeated rows, several null keys, and a text of its own under the key of a copy."""
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(2, a, "x"), (2, a, "x"), (5, a, "y"), (5, b, "own text"), (None, c, "n"), (None, c, "n"), (None, a, "m"), (9, None, "w"), (9, None, "w"), (None, "", "v")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    left = ngram_join.one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(2, a, "x"), (5, b, "own text"), (None, c, "n"), (9, None, "w"), (9, None, "w"), (None, "", "v")], key=str)
+    assert ngram_join.one_of_each(df.limit(0)).collect() == []
+
+
+def test_hot_copies_and_hubs(spark, monkeypatch):
+    """A third of all rows is one text, and a star of near copies: joins of what is hot are broadcast."""
+    from snapledger.llm import common
+
+    monkeypatch.setattr(ngram_join, "join_hot", lambda *a, **k: common.join_hot(*a, **{**k, "parts": 20}))
+    base_ = [f"w{i}" for i in range(40)]
+    rows = [(1000 + i, " ".join(base_)) for i in range(60)] + [(i, " ".join([*base_, f"x{i}"])) for i in range(60)] + [(200 + i, " ".join(f"y{i}z{j}" for j in range(30))) for i in range(60)]
+    assert run(spark, rows, Join()) == brute(rows, 5, 80)
+
+
+def test_short_lists_are_merged_by_heap(monkeypatch):
+    """The heap's counts are those of counting, and sets of many shingles reach it."""
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(2_000, 300, replace=False)).astype(np.uint64) for _ in range(30)]
+    sets += [np.unique(np.r_[s[10:], rng.integers(0, 2_000, 10).astype(np.uint64)]) for s in sets[:10]]
+    index = occurrence.Index(sorted(sets, key=len))
+    merged = []
+    monkeypatch.setattr(occurrence.heapq, "merge", lambda *runs: merged.append(len(runs)) or sorted(x for r in runs for x in r))
+    for i in range(5, 40):
+        heap = index.search(i, 0, 250)
+        monkeypatch.setattr(occurrence, "HEAP", -1)
+        counted = index.search(i, 0, 250)
+        monkeypatch.setattr(occurrence, "HEAP", 1024)
+        assert all(np.array_equal(a, b) for a, b in zip(heap, counted, strict=True))
+    assert len(merged) == 35 and max(merged) > 1
 
 
 @pytest.mark.parametrize("seed", range(8))

@@ -21,9 +21,11 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             case ["ingest", base]:
                 own, stopped = settings.load(), []
                 before = signal.signal(signal.SIGINT, lambda *_: stopped.append(1))
+                meter = report.Meter()
                 try:
-                    out = I.ingest(session(), own, base, cancelled=lambda: bool(stopped))
+                    out = I.ingest(session(), own, base, cancelled=lambda: bool(stopped), progress=meter)
                 finally:
+                    meter.close()
                     signal.signal(signal.SIGINT, before)
                 print("\n".join(report.scan_lines(own.root, Path(base).resolve(), own, out)))
                 return out.exit_code
@@ -34,12 +36,13 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
                 own, apply = settings.load(), bool(rest)
                 store = Store(session(), own.root)
                 if not store.exists():
-                    print("store   none yet; ingest makes one")
+                    print("\n".join(report.prune_lines(own.root, own, [], apply)))
                     return D.EXIT_OK
                 store.open()
                 if apply:
                     with store.writing():
                         found = I.prune(store, own, apply=True)
+                        store.sweep()
                 else:
                     found = I.prune(store, own)
                 print("\n".join(report.prune_lines(own.root, own, found, apply)))

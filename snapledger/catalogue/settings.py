@@ -24,6 +24,8 @@ KEYS: dict[str, dict[str, type | tuple]] = {
     "storage": {"catalogue_path": str, "minimum_free_space_mib": int},
     "history": {"keep_scans": int},
 }
+#: A catalogue of this name in the working directory goes before the one that is set.
+LOCAL = "snapledger-catalogue"
 SYSTEM_FILE = Path("/etc/xdg/snapledger/snapledger.toml")
 
 
@@ -55,7 +57,9 @@ class Settings:
 
     @property
     def root(self) -> Path:
-        return Path(self.catalogue_path).expanduser()
+        """The folder LOCAL where commands are run, if there is one; else the one that is set."""
+        own = Path.cwd() / LOCAL
+        return own if own.exists() else Path(self.catalogue_path).expanduser()
 
 
 def _checked(path: Path) -> dict:

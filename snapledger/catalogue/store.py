@@ -1,14 +1,17 @@
 """Versioned Parquet tables in one folder.
 
 A version is a manifest that names the directories of each table. Writers put new directories beside the old ones and
-publish the next manifest under a name that must not exist; readers use the newest manifest. So a crash leaves unused
-directories and never a torn catalogue.
+publish the manifest after the one they have read, under a name that must not exist; readers use the newest manifest. So a crash
+leaves unused directories and never a torn catalogue, and no writer undoes what another published. Writers remove directories that no
+manifest of the last while names.
 """
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
+import shutil
 import time
 import uuid
 from contextlib import contextmanager
@@ -21,16 +24,8 @@ from ..functions import domain as D
 from .settings import CatalogueError
 
 APPLICATION, VERSION = "snapledger", 1
-
-
-def alive(pid: int) -> bool:
-    try:
-        os.kill(pid, 0)
-    except ProcessLookupError:
-        return False
-    except PermissionError:
-        return True
-    return True
+#: Seconds for which directories that a newer version has replaced stay, for readers that began before.
+GRACE = 3600.0
 
 
 class Store:
@@ -55,17 +50,16 @@ class Store:
             raise CatalogueError(D.EXIT_CONFIG, f"{self.root} is not a catalogue")
         elif create:
             self.manifests.mkdir(parents=True, exist_ok=True)
-            self.publish({t: [] for t in D.TABLES} | {"stage": []})
+            self.publish({t: [] for t in D.TABLES} | {"stage": []}, 0)
         return self
 
     def manifest(self) -> dict:
         newest = max(self.manifests.glob("v*.json"))
         return json.loads(newest.read_text())
 
-    def publish(self, tables: dict[str, list[str]]) -> int:
-        """Make these directories the catalogue's next version; fails if another writer was first."""
-        known = [int(p.stem[1:]) for p in self.manifests.glob("v*.json")]
-        n = max(known, default=0) + 1
+    def publish(self, tables: dict[str, list[str]], read: int) -> int:
+        """Make these directories the version after the one that was ``read``; fails if another writer has published it."""
+        n = read + 1
         temp = self.manifests / f".{uuid.uuid4().hex}"
         with open(temp, "w") as f:
             json.dump({"application_id": APPLICATION, "schema_version": VERSION, "version": n, "tables": tables}, f)
@@ -80,7 +74,33 @@ class Store:
         return n
 
     def commit(self, **changed: list[str]) -> int:
-        return self.publish(self.manifest()["tables"] | changed)
+        now = self.manifest()
+        return self.publish(now["tables"] | changed, now["version"])
+
+    def sweep(self, grace: float = GRACE) -> list[str]:
+        """Remove what no manifest of the last ``grace`` seconds names, unless it is as young itself; the newest manifest always counts. For the holder of the lock. Gives the directories removed."""
+        limit = time.time() - grace
+        versions = sorted(self.manifests.glob("v*.json"))
+        until = [p.stat().st_mtime for p in versions[1:]] + [float("inf")]  # a version is in force until the next is published
+        young = [p for p, t in zip(versions, until, strict=True) if t > limit]
+        used = {d for p in young for dirs in json.loads(p.read_text())["tables"].values() for d in dirs}
+        gone = []
+        for top in [*D.TABLES, "stage"]:
+            for where in self.root.glob(f"{top}/*/*"):
+                name = str(where.relative_to(self.root))
+                if name not in used and where.stat().st_mtime <= limit:
+                    gone.append(name)
+        gone += [str(w.relative_to(self.root)) for w in self.root.glob("work/*") if w.stat().st_mtime <= limit]
+        for p in versions:
+            if p not in young:
+                p.unlink(missing_ok=True)
+        for name in gone:
+            shutil.rmtree(self.root / name, ignore_errors=True)
+        for top in [*D.TABLES, "stage"]:
+            for part in self.root.glob(f"{top}/*"):
+                if not any(part.iterdir()):
+                    part.rmdir()
+        return gone
 
     # tables
 
@@ -115,32 +135,32 @@ class Store:
         return self.manifests / "writer.lock"
 
     def holder(self) -> int | None:
-        """The live process that holds the lock."""
+        """The process that holds the lock; 0 if it hasn't said who it is yet."""
         try:
-            pid = int(self.lock_file.read_text() or 0)
+            with open(self.lock_file) as f:
+                try:
+                    fcntl.flock(f, fcntl.LOCK_SH | fcntl.LOCK_NB)
+                except BlockingIOError:
+                    return int(f.read() or 0)
         except (FileNotFoundError, ValueError):
-            return None
-        return pid if pid and alive(pid) else None
+            pass
+        return None
 
     @contextmanager
     def writing(self):
-        """Hold the writer's lock; a dead holder's is taken over."""
-        for _ in range(2):
+        """Hold the writer's lock. The system gives it back when its holder ends, however that ends, and the file stays, so there is nothing to take over."""
+        with open(self.lock_file, "a+") as f:
             try:
-                handle = os.open(self.lock_file, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-                break
-            except FileExistsError as e:
-                if (pid := self.holder()) is not None:
-                    raise CatalogueError(D.EXIT_BUSY, f"process {pid} holds the write lock") from e
-                self.lock_file.unlink(missing_ok=True)
-        else:
-            raise CatalogueError(D.EXIT_BUSY, "the write lock is contended")
-        try:
-            os.write(handle, str(os.getpid()).encode())
-            os.close(handle)
-            yield
-        finally:
-            self.lock_file.unlink(missing_ok=True)
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except BlockingIOError as e:
+                raise CatalogueError(D.EXIT_BUSY, f"{self.root} is being written by process {self.holder() or 'unknown'}") from e
+            f.truncate(0)
+            f.write(str(os.getpid()))
+            f.flush()
+            try:
+                yield
+            finally:
+                f.truncate(0)
 
     def free_bytes(self) -> int:
         s = os.statvfs(self.root)

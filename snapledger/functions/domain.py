@@ -42,7 +42,7 @@ SCANS = _schema(
     required_free_bytes=_L, estimate_source=_S, duration_ms=_L, failure_code=_S, failure_message=_S,
 )
 FILES = _schema(file_id=_L, base_id=_L, **_CONTENT, presence=_S, metadata_from_scan_id=_L, deleted_in_scan_id=_L)
-STAGE = _schema(scan_id=_L, base_id=_L, **_CONTENT, complete=_Y)
+STAGE = _schema(scan_id=_L, base_id=_L, **_CONTENT, complete=_Y, chunk=_L)
 CHANGES = _schema(
     scan_id=_L, base_id=_L, relative_path=_B, change_kind=_S, field_mask=_L, old_size_bytes=_L, new_size_bytes=_L, old_mtime_ns=_L, new_mtime_ns=_L,
     old_mime_type=_S, new_mime_type=_S, old_content_hash=_B, new_content_hash=_B,

@@ -1,4 +1,8 @@
-"""The difference between a staged scan and the baseline: one full outer join classifies every path."""
+"""The difference between a staged scan and the baseline: one full outer join classifies every path.
+
+Known paths that the scan lacks are looked up among the unreadable paths: in place while those are few, by count, and by a join
+of their ancestors otherwise.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import domain as D
+from ..functions.paths import ancestors_or_self
 from . import shield
 
+#: Unreadable paths up to which they travel with the plan.
+FEW = 1_000
 COMPARED = ("size_bytes", "mtime_ns", "mime_type", "content_hash")
 CONTENT = ("parent_path", "name", "extension", "size_bytes", "mtime_ns", "created_ns", "mime_type", "mime_source", "hash_algorithm", "content_hash", "hash_status")
 
@@ -32,9 +39,15 @@ def classified(baseline: DataFrame, staged: DataFrame, errors: DataFrame | None
     pack = lambda df, name: df.select("relative_path", F.struct(*[F.col(c) for c in df.columns if c != "relative_path"]).alias(name))
     both = pack(baseline, "old").join(pack(staged, "new"), "relative_path", "full_outer")
     if errors is not None:
-        absent = baseline.filter(F.col("presence") != D.DELETED).select("relative_path").join(staged.select("relative_path"), "relative_path", "left_anti")
-        held = shield.shielded(absent, errors).distinct().withColumn("_held", F.lit(True))
-        both = both.join(held, "relative_path", "left")
+        bad = shield.unreadable(errors)
+        few = bad.limit(FEW + 1).collect()
+        absent = F.col("new").isNull() & (F.col("old.presence") != D.DELETED)
+        if len(few) <= FEW:
+            above = F.exists(ancestors_or_self(F.col("relative_path")), lambda a: a.isin([bytes(r[0]) for r in few]))
+            both = both.withColumn("_held", F.when(absent, above) if few else F.lit(False))
+        else:
+            held = shield.shielded(both.filter(absent).select("relative_path"), errors).withColumn("_held", F.lit(True))
+            both = both.join(held, "relative_path", "left")
     else:
         both = both.withColumn("_held", F.lit(None).cast("boolean"))
     here, known, dead = F.col("new").isNotNull(), F.col("old").isNotNull(), F.col("old.presence") == D.DELETED

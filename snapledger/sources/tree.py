@@ -1,7 +1,7 @@
 """A directory tree as a table: a Python data source that lists files and says which paths it could not read.
 
 Options: path (of the tree), skip_hidden, skip_mount_boundaries, follow_symlinks (true or false), partitions, and
-faults, a JSON object of error names by path that are raised instead of reading, for tests.
+for tests faults, a JSON object of error names by path that are raised instead of reading, and devices, one of device numbers by path.
 
 Rows have a ``kind``: ``file``, ``error`` or ``skip``. The tree is cut into subtrees that tasks list independently; when
 links are followed a task must know all directories that were visited, so there is one task.
@@ -10,6 +10,7 @@ links are followed a task must know all directories that were visited, so there
 from __future__ import annotations
 
 import base64
+import ctypes
 import errno
 import json
 import os
@@ -45,12 +46,37 @@ def shortened(message: str) -> str:
     return message if len(data) <= MESSAGE_BYTES else data[:MESSAGE_BYTES].decode("utf-8", "ignore") + "…"
 
 
+class _Statx(ctypes.Structure):
+    """The system's struct statx, up to the birth time."""
+
+    _fields_ = [("mask", ctypes.c_uint32), ("_a", ctypes.c_uint8 * 76), ("born_s", ctypes.c_int64), ("born_ns", ctypes.c_uint32), ("_b", ctypes.c_uint8 * 164)]
+
+
+BIRTH, NO_FOLLOW, HERE = 0x800, 0x100, -100
+
+
+def born_ns(path: bytes, about: os.stat_result, follow: bool) -> int | None:
+    """When a file was made, in nanoseconds; None where the system or the file system doesn't say, or before 1970."""
+    found = getattr(about, "st_birthtime_ns", None)
+    if found is None:
+        try:
+            call = ctypes.CDLL(None, use_errno=True).statx
+        except AttributeError:
+            return None
+        out = _Statx()
+        if call(HERE, ctypes.c_char_p(path), 0 if follow else NO_FOLLOW, BIRTH, ctypes.byref(out)) or not out.mask & BIRTH:
+            return None
+        found = out.born_s * 1_000_000_000 + out.born_ns
+    return found if found >= 0 else None
+
+
 class Walk:
     """Lists a tree below a root, with one directory open at a time. The empty relative path is the root itself."""
 
-    def __init__(self, root: bytes, skip_hidden=True, skip_mount_boundaries=True, follow_symlinks=False, faults=None):
+    def __init__(self, root: bytes, skip_hidden=True, skip_mount_boundaries=True, follow_symlinks=False, faults=None, devices=None):
         self.root, self.skip_hidden, self.one_device, self.follow = root, skip_hidden, skip_mount_boundaries, follow_symlinks
         self.faults = {os.fsencode(k): v for k, v in (faults or {}).items()}
+        self.devices = {os.fsencode(k): v for k, v in (devices or {}).items()}
         self.device: int | None = None
         self.visited: set[tuple[int, int]] = set()
 
@@ -100,11 +126,11 @@ class Walk:
                 continue
             if not (stat.S_ISDIR(about.st_mode) or stat.S_ISREG(about.st_mode)):
                 continue
-            if self.one_device and about.st_dev != self.device:
+            if self.one_device and self.devices.get(own, about.st_dev) != self.device:
                 rows.append(self._skipped("mount"))
             elif stat.S_ISREG(about.st_mode):
-                born = getattr(about, "st_birthtime_ns", None)
-                rows.append(("file", own, about.st_size, max(0, about.st_mtime_ns), born if born is None or born >= 0 else None, None, None, None, None, 1))
+                born = born_ns(os.path.join(self.root, own), about, entry.is_symlink())
+                rows.append(("file", own, about.st_size, max(0, about.st_mtime_ns), born, None, None, None, None, 1))
             elif not self.follow:
                 below.append(own)
             elif (about.st_dev, about.st_ino) not in self.visited:
@@ -133,7 +159,7 @@ class TreeReader(DataSourceReader):
         self.root = base64.b64decode(path)
         self.settings = {
             "skip_hidden": flag("skip_hidden", "true"), "skip_mount_boundaries": flag("skip_mount_boundaries", "true"), "follow_symlinks": flag("follow_symlinks", "false"),
-            "faults": json.loads(options.get("faults", "{}")),
+            "faults": json.loads(options.get("faults", "{}")), "devices": json.loads(options.get("devices", "{}")),
         }
         self.wanted = int(options.get("partitions", "8"))
 

@@ -2,6 +2,10 @@
 
 import os
 import signal
+import subprocess
+import sys
+import time
+import tomllib
 from dataclasses import replace
 
 import pytest
@@ -98,7 +102,7 @@ def test_hidden_and_symlinks_and_policy(box):
         box.scan()
     assert e.value.code == 6 and box.presence(b"visible.txt") == "present"
     assert "skip_hidden" in box.table("bases").first()["last_error"]
-    assert any("POLICY    skip_hidden" in line for line in report.status_lines(box.spark, box.settings))
+    assert any(line.startswith("settings_that_differ = ") and "skip_hidden" in line for line in report.status_lines(box.spark, box.settings))
 
 
 def test_followed_links_end_and_are_rows_of_their_own(box):
@@ -223,7 +227,7 @@ def test_retention_and_several_bases(box, tmp_path, capsys, monkeypatch):
 
 
 def test_catalogue_is_guarded(box, tmp_path):
-    assert any("none yet" in line for line in report.status_lines(box.spark, box.settings)) and not box.settings.root.exists()
+    assert tomllib.loads("\n".join(report.status_lines(box.spark, box.settings)))["catalogue"]["exists"] is False and not box.settings.root.exists()
     box.settings.root.mkdir()
     (box.settings.root / "foreign.db").write_text("x")
     with pytest.raises(CatalogueError) as e:
@@ -233,10 +237,11 @@ def test_catalogue_is_guarded(box, tmp_path):
     box.write("a")
     box.scan()
     store = Store(box.spark, box.settings.root)
-    store.lock_file.write_text(str(os.getppid()))
-    with pytest.raises(CatalogueError) as e:
-        box.scan()
-    assert e.value.code == 4
+    with store.writing():
+        assert store.holder() == os.getpid()
+        with pytest.raises(CatalogueError) as e:
+            box.scan()
+    assert e.value.code == 4 and store.holder() is None
     store.lock_file.write_text("999999999")
     box.scan()
     with pytest.raises(CatalogueError):
@@ -267,10 +272,132 @@ def test_commands(box, tmp_path, monkeypatch, capsys):
     monkeypatch.setenv("HOME", str(home))
     assert main(["nonsense"], box.spark) == 2 and main(["history", "prune", "--now"], box.spark) == 2
     assert main(["history", "prune", "--apply"], box.spark) == 0 and not (tmp_path / "cli").exists()
+    capsys.readouterr()
     box.write("a.txt")
     before = signal.getsignal(signal.SIGINT)
     assert main(["ingest", str(box.tree)], box.spark) == 0
     assert signal.getsignal(signal.SIGINT) is before
     assert main(["status"], box.spark) == 0
     out = capsys.readouterr().out
-    assert "added 1  updated 0  deleted 0  unchanged 0" in out and "baseline  scan 1" in out and "resumable none" in out
+    ingested, status = (tomllib.loads("[" + part) for part in out.split("[", 1)[1].split("[settings]")[0:1] + ["settings]" + out.split("[settings]")[1]])
+    assert (ingested["difference"], ingested["scan"]["outcome"]) == ({"added": 1, "updated": 0, "deleted": 0, "unchanged": 0, "present": 1}, "complete")
+    assert status["folder"]["1"]["baseline"] == 1 and "unfinished" not in status["folder"]["1"]
+
+
+def dirs(root):
+    return {str(p.relative_to(root)) for top in ("bases", "scans", "files", "changes", "errors", "stage", "work") for p in (root / top).glob("*" if top == "work" else "*/*")}
+
+
+def test_replaced_and_pruned_directories_are_removed(box):
+    box.settings = replace(box.settings, keep_scans=1)
+    store = Store(box.spark, box.settings.root)
+    for k in range(3):
+        box.write("a.txt", "x" * (k + 1))
+        box.scan()
+    named = {d for dirs_ in store.manifest()["tables"].values() for d in dirs_}
+    assert dirs(store.root) > named  # young ones stay for readers
+    assert not any(d.startswith("work/") for d in dirs(store.root))
+    files = box.files()
+    gone = store.sweep(grace=0)
+    assert gone and dirs(store.root) == named and box.files() == files and len(list(store.manifests.glob("v*.json"))) == 1
+    old = time.time() - 7200
+    for p in [*store.manifests.glob("v*.json"), store.root / "work/crashed", store.root / "files/b1/crashed"]:
+        if p.suffix != ".json":
+            p.mkdir(parents=True)
+        os.utime(p, (old, old))
+    assert sorted(store.sweep()) == ["files/b1/crashed", "work/crashed"] and box.files() == files
+    box.write("b.txt")
+    assert box.scan().added == 1
+
+
+def test_no_writer_undoes_what_another_published(box):
+    box.write("a.txt")
+    box.scan()
+    store = Store(box.spark, box.settings.root)
+    read = store.manifest()
+    store.commit(errors=[])
+    with pytest.raises(CatalogueError) as e:
+        store.publish(read["tables"], read["version"])
+    assert e.value.code == 4
+
+
+def test_lock_ends_with_its_holder(box, tmp_path):
+    box.write("a.txt")
+    box.scan()
+    store = Store(box.spark, box.settings.root)
+    code = "import fcntl, os, sys, time; f = open(sys.argv[1], 'a+'); fcntl.flock(f, fcntl.LOCK_EX); f.truncate(0); f.write(str(os.getpid())); f.flush(); print('held', flush=True); time.sleep(600)"
+    other = subprocess.Popen([sys.executable, "-c", code, str(store.lock_file)], stdout=subprocess.PIPE)
+    try:
+        other.stdout.readline()
+        assert store.holder() == other.pid
+        with pytest.raises(CatalogueError) as e:
+            box.scan()
+        assert e.value.code == 4
+    finally:
+        other.kill()
+        other.wait()
+    assert store.holder() is None and box.scan().unchanged == 1
+
+
+def test_catalogue_of_the_working_directory_goes_first(box, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert box.settings.root == tmp_path / "store"
+    (tmp_path / "snapledger-catalogue").mkdir()
+    assert box.settings.root == tmp_path / "snapledger-catalogue"
+    box.write("a.txt")
+    box.scan()
+    assert Store(box.spark, tmp_path / "snapledger-catalogue").exists() and not (tmp_path / "store").exists()
+
+
+def test_tasks_pause_and_stop_at_the_floor(box, monkeypatch):
+    """Rows after the batch that met the floor are left for the next attempt, which a look in between can't hide."""
+    from snapledger.sources import hashing
+
+    for i in range(30):
+        box.write(f"f{i}", str(i))
+    observed = box.spark.createDataFrame([(f"f{i}".encode(), 1 if i < 10 else 2, 0) for i in range(30)], "relative_path binary, size_bytes long, mtime_ns long")
+    began = time.time()
+    assert hashing.hashed(observed, os.fsencode(box.tree), least=1, batch=10, pause=0.4, disk=str(box.tree), floor=1).count() == 30 and time.time() - began > 1.1
+    assert hashing.hashed(observed, os.fsencode(box.tree), least=1, batch=10, disk=str(box.tree), floor=1 << 62).count() == 10
+    whole = hashing.hashed
+    monkeypatch.setattr(I, "hashed", lambda *a: whole(*a[:3], 1, 10, 0.0, a[6], 1 << 62))
+    out = box.scan(code=5)
+    assert (out.status, out.low_space, out.hashed) == ("partial", True, 10)
+    monkeypatch.setattr(I, "hashed", whole)
+    again = box.scan()
+    assert (again.resumed, again.reused_stage, again.hashed, again.staged) == (True, 10, 20, 30)
+
+
+def test_birth_time_and_progress(box):
+    began = time.time_ns()
+    box.write("a.txt")
+    box.write("b.txt")
+    seen = []
+    box.scan(progress=lambda *a: seen.append(a))
+    assert seen == [(2, 2, 0)]
+    for r in box.files().values():
+        assert r["created_ns"] is None or abs(r["created_ns"] - began) < 60 * 10**9
+
+    class Terminal(list):
+        write, flush, isatty = list.append, lambda self: None, lambda self: True
+
+    out = Terminal()
+    meter = report.Meter(out, every=0)
+    meter(10, 5, 20)
+    meter(50, 30, 20)
+    meter.close()
+    assert "5 of 10 files, about 25 %" in out[0] and "%" not in out[1] and len(out) == 3
+
+
+def test_mounts_are_left_out_by_device(box, monkeypatch):
+    """What lies on another device is skipped and counted, file or folder, unless mounts are crossed."""
+    from snapledger.sources.tree import Walk
+
+    for name in ("own/a", "far/b", "c"):
+        box.write(name)
+    for skip, paths, skips in ((True, {b"c", b"own/a"}, 1), (False, {b"c", b"own/a", b"far/b"}, 0)):
+        walk = Walk(os.fsencode(box.tree), skip_mount_boundaries=skip, devices={"far": 99})
+        rows = list(walk.rows(b""))
+        assert {r[1] for r in rows if r[0] == "file"} == paths and sum(r[8] == "mount" for r in rows) == skips
+    walk = Walk(os.fsencode(box.tree), devices={"c": 99})
+    assert [r[8] for r in walk.rows(b"") if r[0] == "skip"] == ["mount"]

@@ -11,8 +11,10 @@ from ..functions import domain as D
 from ..functions import formatting, paths
 from ..operators import diff, history, reuse, shield, status
 from . import snapshots as S
+from . import trees as T
 
 KEEP = 3
+COUNTS = "discovered_files staged_files hashed_files added_count updated_count deleted_count unchanged_count present_count error_count excluded_hidden excluded_symlink unreadable_dirs".split()
 POLICY = {"skip_hidden": True, "skip_mount_boundaries": True, "follow_symlinks": False}
 NOW_NS = 1_800_000_000_000_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,11 @@ def query(sql: str):
     return register
 
 
+def _longs(sql: str, *columns: str) -> str:
+    """SQL with these columns as bigint."""
+    return f"select * replace ({', '.join(f'cast({c} as bigint) as {c}' for c in columns)}) from ({sql})"
+
+
 def _text(c: str = "relative_path"):
     return F.col(c).cast("string").alias("path")
 
@@ -255,3 +262,99 @@ def q29_ago(spark, d):
 def q30_orders_diff(spark, d):
     old, new = S.orders(spark, d)
     return diff.classified(old, new).groupBy("class", "field_mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+# A real tree and its catalogue: see trees.
+
+
+def _file(kind="file"):
+    return F.col("kind") == kind
+
+
+@query(T.SQL + "select path, cast(strlen(text) as bigint) as size_bytes, mtime as mtime_ns, case when c = 1 then 'changed' else 'same' end as later from v where c <> 2")
+def q31_tree_listing(spark, d):
+    """The tree as it is in the end, without hidden files and links: sizes are those before the change, less the mark that was added."""
+    rows = T.listed(spark, T.world(spark, d).tree).filter(_file())
+    changed = F.regexp_extract(F.col("relative_path").cast("string"), r"(\d+)\.txt$", 1).cast("long") % 7 == 1
+    return rows.select(_text(), (F.col("size_bytes") - F.when(changed, 1).otherwise(0)).alias("size_bytes"), "mtime_ns", F.when(changed, "changed").otherwise("same").alias("later"))
+
+
+@query(T.SQL + """select reason, cast(sum(n) as bigint) as n from (select 'hidden' as reason, count(*) as n from t where doc_id % 10 = 0 and c <> 2 union all
+ select 'symlink', count(*) from t where doc_id % 10 = 1) group by reason having sum(n) > 0""")
+def q32_left_out(spark, d):
+    return T.listed(spark, T.world(spark, d).tree).filter(_file("skip")).groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+@query(T.SQL + "select path from t where c <> 2 union all select path || '.link' from t where doc_id % 10 = 1 and c <> 2")
+def q33_followed_links_and_hidden(spark, d):
+    """Links are files of their own; those whose file is gone are errors."""
+    return T.listed(spark, T.world(spark, d).tree, follow_symlinks="true", skip_hidden="false").filter(_file()).select(_text())
+
+
+@query(T.SQL + """select path || '.link' as path, 'not_found' as code, false as whole_folder from t where doc_id % 10 = 1 and c = 2 and src not in ('src2', 'src4')
+ union all select distinct src, case src when 'src2' then 'io_error' else 'not_found' end, true from t where src in ('src2', 'src4')""")
+def q34_listing_errors(spark, d):
+    rows = T.listed(spark, T.world(spark, d).tree, follow_symlinks="true", faults='{"src2": "EIO", "src4": "ENOENT"}').filter(_file("error"))
+    return rows.select(_text(), "code", F.col("listing").alias("whole_folder"))
+
+
+@query(T.SQL + "select path, cast(null as varchar) as reason from v where c <> 2 and src <> 'src3' union all select distinct cast(null as varchar), 'mount' from t where src = 'src3'")
+def q35_other_device(spark, d):
+    """A folder on another device is one skip; nothing in it is listed."""
+    rows = T.listed(spark, T.world(spark, d).tree, devices='{"src3": 1}')
+    return rows.filter(_file() | (F.col("reason") == "mount")).select(_text(), "reason")
+
+
+@query(T.SQL + "select path, src || '/' || split_part(path, '/', 2) as parent_path, doc_id || '.txt' as name, 'txt' as extension, cast(strlen(text) as bigint) as size_bytes, mtime as mtime_ns, sha256(text) as content_hash, 'text/plain' as mime_type, 'present' as presence from v")
+def q36_files_after_first_scan(spark, d):
+    return T.world(spark, d).read(0, "files").select(_text(), "parent_path", "name", "extension", "size_bytes", "mtime_ns", F.lower(F.hex("content_hash")).alias("content_hash"), "mime_type", "presence")
+
+
+@query(_longs(T.SQL + """select path, case when shut or (c = 1 and bad) then 'unreadable' when c = 2 then 'deleted' else 'present' end as presence, sha256(case when shut or bad or c = 2 then text else later end) as content_hash,
+ case when c = 2 and not shut then 2 end as deleted_in_scan_id, case when c = 1 and not shut and not bad then 2 else 1 end as metadata_from_scan_id from v""", "deleted_in_scan_id", "metadata_from_scan_id"))
+def q37_files_after_second_scan(spark, d):
+    """What lies in an unreadable folder, and what couldn't be hashed, is held; what is gone leaves a tombstone."""
+    rows = T.world(spark, d).read(2, "files")
+    return rows.select(_text(), "presence", F.lower(F.hex("content_hash")).alias("content_hash"), "deleted_in_scan_id", "metadata_from_scan_id")
+
+
+@query(_longs(T.SQL + """select path, case when c = 2 then 'deleted' else 'present' end as presence, sha256(case when c = 2 then text else later end) as content_hash, case when c = 2 then case when shut then 3 else 2 end end as deleted_in_scan_id from v""", "deleted_in_scan_id"))
+def q38_files_after_third_scan(spark, d):
+    return T.world(spark, d).read(3, "files").select(_text(), "presence", F.lower(F.hex("content_hash")).alias("content_hash"), "deleted_in_scan_id")
+
+
+@query(_longs(T.SQL + """select case when shut or (c = 1 and bad) then 3 else 2 end as scan_id, path, case c when 1 then 'updated' else 'deleted' end as change_kind, case c when 1 then 9 else 16 end as field_mask,
+ cast(strlen(text) as bigint) as old_size_bytes, case when c = 1 then cast(strlen(later) as bigint) end as new_size_bytes from v where c in (1, 2)""", "scan_id", "field_mask"))
+def q39_changes_kept(spark, d):
+    """The first scan's changes have aged out; the folder that was unreadable changes only in the third."""
+    return T.world(spark, d).read(3, "changes").select("scan_id", _text(), "change_kind", "field_mask", "old_size_bytes", "new_size_bytes")
+
+
+@query(_longs(T.SQL + "select 2 as scan_id, 'walk' as stage, 'src1' as path, 'permission_denied' as error_code where exists (select 1 from t where src = 'src1') union all select 2, 'hash', path, 'permission_denied' from v where c = 1 and bad and not shut", "scan_id"))
+def q40_errors(spark, d):
+    return T.world(spark, d).read(3, "errors").select("scan_id", "stage", _text(), "error_code")
+
+
+@query(_longs(T.SQL + """, n as (select count(*) as every, count_if(c <> 2) as left_, count_if(c <> 2 and not shut) as seen, count_if(c = 1 and not shut) as changed, count_if(c = 1 and not shut and not bad) as updated, count_if(c = 2 and not shut) as gone,
+ count_if(shut or (c = 1 and bad)) as held, count_if(c = 1 and (shut or bad)) as late, count_if(c = 2 and shut) as late_gone from v), h as (select count_if(doc_id % 10 = 0) as all_hidden, count_if(doc_id % 10 = 0 and c <> 2) as hidden, count_if(doc_id % 10 = 1) as links from t),
+ w as (select count_if(doc_id % 10 = 0 and c <> 2 and src <> 'src1') as hidden, count_if(doc_id % 10 = 1 and src <> 'src1') as links, max(case when src = 'src1' then 1 else 0 end) as shut from t)
+select 1 as scan_id, 'complete' as status, every as discovered_files, every as staged_files, every as hashed_files, every as added_count, 0 as updated_count, 0 as deleted_count, 0 as unchanged_count, every as present_count, 0 as error_count, h.all_hidden as excluded_hidden, h.links as excluded_symlink, 0 as unreadable_dirs from n, h
+union all select 2, 'complete', seen, seen - (changed - updated), updated, 0, updated, gone, seen - changed, seen - (changed - updated), w.shut + changed - updated, w.hidden, w.links, w.shut from n, w
+union all select 3, 'complete', left_, left_, hashed, 0, late, late_gone, left_ - late, left_, 0, h.hidden, h.links, 0 from n, h, (select count_if(c <> 2 and (shut or (c = 1 and bad))) as hashed from v)""", "scan_id", *COUNTS))
+def q41_scans(spark, d):
+    return T.world(spark, d).read(3, "scans").select("scan_id", "status", *COUNTS)
+
+
+@query(T.SQL + """select * from (values (0, 'complete', false, 0), (1, 'cancelled', false, 130), (2, 'complete', true, case when exists (select 1 from t where src = 'src1') then 7 else 0 end), (3, 'complete', false, 0)) as x(attempt, status, carried_on, exit_code)""")
+def q42_attempts(spark, d):
+    """A scan that was stopped is carried on under its number; an unreadable folder shows in the exit code."""
+    rows = [(k, o.status, o.resumed, o.exit_code) for k, o in enumerate(T.world(spark, d).outcomes)]
+    return spark.createDataFrame(rows, "attempt int, status string, carried_on boolean, exit_code int")
+
+
+@query(_longs(T.SQL + "select 1 as base_id, 3 as last_complete_scan_id, true as skip_hidden, true as skip_mount_boundaries, false as follow_symlinks, true as no_error, 0 as staged_rows", "base_id", "last_complete_scan_id", "staged_rows"))
+def q43_base_and_stage(spark, d):
+    w = T.world(spark, d)
+    stage = w.store.read(w.after[3]["stage"], D.STAGE).agg(F.count(F.lit(1)).alias("staged_rows"))
+    rows = w.read(3, "bases").select("base_id", "last_complete_scan_id", *D.POLICY, F.col("last_error").isNull().alias("no_error"))
+    return rows.join(F.broadcast(stage.withColumn("base_id", F.lit(1).cast("long"))), "base_id")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, least_hashed
+from .common import columns, kept, least_hashed
 
 
 @dataclass(frozen=True)
@@ -204,9 +204,9 @@ def nearest(embeddings: DataFrame, queries: str, key: str = "vec_id", vector: st
     if one is None:
         return spark.range(0).selectExpr("id as query_id", "cast(0 as int) as rank", f"id as `{key}`", "cast(0 as double) as score")
     size = min(index.sample, max(1, index.components // one[0]))
-    sample = least_hashed(rows, "id", size).select("v").toPandas()["v"]
+    sample = columns(least_hashed(rows, "id", size).select(F.explode("v").alias("v")))["v"].reshape(-1, one[0])
     total = rows.count() if len(sample) == size else len(sample)
-    x = unit(np.stack(sample.to_numpy()))
+    x = unit(sample)
     want = min(index.centroids, len(x) // 8, total // index.rows)
     leaves = 1 << max(0, want.bit_length() - 1) if want > 0 else 1
     graph = spark.sparkContext.broadcast(Graph(halved(x, leaves, np.random.default_rng(7)), index.degree, index.beam))

@@ -68,6 +68,12 @@ def unpacked(df: DataFrame, columns: list[str]) -> list[Column]:
     return [df["_row"].getField(c).alias(c) for c in columns]
 
 
+def columns(df: DataFrame) -> dict:
+    """The columns of a small table as numpy arrays, without a Python object for each value."""
+    got = df.toArrow()
+    return {c: got[c].to_numpy() for c in got.column_names}
+
+
 def least_hashed(df: DataFrame, key: str, n: int) -> DataFrame:
     """About n rows, never more, those with the least hashes of a column; all if there are fewer. Tasks send few rows that aren't among them."""
     total = df.count()

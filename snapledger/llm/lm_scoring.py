@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lm, words
-from .common import frequent, kept
+from .common import columns, frequent, kept
 
 #: Stands for the end among hashes of words.
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
@@ -192,14 +192,14 @@ def _averaged(weights: DataFrame, net: lm.Net) -> lm.Net:
 
 def _model(tokens: DataFrame, training: DataFrame, scoring: Scoring) -> lm.Model:
     """Fitted on all training texts: the prior by counting, the net by gradients, every partition from the same first weights, which are then averaged."""
-    alone = tokens.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()  # a row for each subword at most
+    alone = columns(tokens.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")))  # a row for each subword at most
     counts = np.zeros(lm.SIZE, np.int64)
-    counts[alone["a"].to_numpy(np.int64)] = alone["n"].to_numpy(np.int64)
+    counts[alone["a"]] = alone["n"]
     rank, row, rows = lm.ranked(counts)
     blocks = tokens.filter("kind = 2")
-    cells = _paired(blocks, rank, row, rows).toPandas()  # as many as the table has, at most
+    cells = columns(_paired(blocks, rank, row, rows))  # as many as the table has, at most
     table = np.zeros(rows * len(row), np.float32)
-    table[cells["a"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float32)
+    table[cells["a"]] = cells["n"]
     model = lm.Model.start(*lm.lexicon(rank, row, table.reshape(rows, len(row))))
     _started(training, int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), model, scoring)
     weights = kept(_trained(blocks, training.sparkSession.sparkContext.broadcast(model)), "lm-weights")
@@ -220,11 +220,12 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", scoring: Sc
     tokens = kept(_tokens(training, scoring), "lm-tokens")
     counts = kept(tokens.filter("kind = 0").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("c")), "lm-words")
     known, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = frequent(counts, "c", scoring.frequent).toPandas().sort_values("h")
+    top = columns(frequent(counts, "c", scoring.frequent))
     model = _model(tokens, training, scoring)
-    logs = np.log10((top["c"].to_numpy(np.float64) + 1) / (total + known + 1.0))
-    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast((model, top["h"].to_numpy(np.int64).view(np.uint64)[order], logs[order]))
+    logs = np.log10((top["c"].astype(np.float64) + 1) / (total + known + 1.0))
+    words_ = top["h"].astype(np.int64).view(np.uint64)
+    order = np.argsort(words_)
+    sent = spark.sparkContext.broadcast((model, words_[order], logs[order]))
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     every = kept(_scores(numbered, sent, scoring), "lm-scores")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, words
-from .common import frequent, join_hot, join_small, kept, packed, unpacked
+from .common import columns, frequent, join_hot, join_small, kept, packed, unpacked
 from .components import components
 from .occurrence import forest, least_size
 
@@ -255,10 +255,10 @@ def _named(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
     described = kept(_described(rows, join), "described")
     documents = described.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), "n", "t")
     recurring = described.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("count"))
-    top = frequent(kept(recurring.filter("count >= 3"), "counts"), "count", join.frequent).toPandas()
+    top = columns(frequent(kept(recurring.filter("count >= 3"), "counts"), "count", join.frequent))
     limit = int(join.low * 2**64)
     words_ = bloom.build(kept(_recurring(rows, limit, join), "recurring"), "token", join.filter_bytes, hashed=True)
-    order = spark.sparkContext.broadcast(_Order(top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64), words_, limit))
+    order = spark.sparkContext.broadcast(_Order(top["token"].astype(np.int64).view(np.uint64), top["count"].astype(np.int64), words_, limit))
 
     classes = kept(documents.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     candidates = components(_neighbours(_postings(rows, order, join), join.percent))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import packed, unpacked
+from .common import columns, packed, unpacked
 
 GOOD, JUNK, NOTHING = 2, 1, 0
 #: Labellers: statistic, votes junk from or up to (by the sign of the comparison), votes good within.
@@ -194,8 +194,8 @@ def fitted(docs: DataFrame, text: str = "text", fit: Fit = Fit()) -> Model:
         own = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], ["pattern", "n"])
 
-    counted = rows.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # a row for each pattern at most
-    patterns, counts = counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+    counted = columns(rows.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")))  # a row for each pattern at most
+    patterns, counts = counted["pattern"].astype(np.int64), counted["n"].astype(np.int64)
     order = np.argsort(patterns)
     patterns, counts = patterns[order], counts[order]
     share, table, good = estimate(patterns, counts.astype(float), fit.rounds)

@@ -262,7 +262,7 @@ class Model:
     def logs(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(y) where ``on``, in order."""
         at = np.flatnonzero(on)
-        z = self.net.forward(x)[-1].take(at, axis=0)
+        z = np.concatenate([self.net.forward(x[i : i + FORWARD])[-1].take(np.flatnonzero(on[i : i + FORWARD]), axis=0) for i in range(0, len(x), FORWARD)])
         y, row = y.ravel()[at], self.lex.row[x.ravel()[at]]
         cls, order, groups = self._each_class(y)
         total, picked = _weighed(z @ self.net.o, self.of_class, row, cls)
@@ -319,7 +319,7 @@ class Model:
         begin = np.flatnonzero(np.r_[True, np.diff(place[by]) != 0])
         return place[by][begin], [np.add.reduceat(dh.reshape(-1, WIDTH).take(by, axis=0), begin, axis=0), dp, dattend, dw, dc, do, dr], loss / n
 
-    def score(self, ids: np.ndarray, first: np.ndarray, batch: int = 256) -> np.ndarray:
+    def score(self, ids: np.ndarray, first: np.ndarray, batch: int = 1024) -> np.ndarray:
         """log10 probability of each id of texts that lie one after another."""
         x, target = windows(ids, first)
         x, y, out = self.lex.place[x], self.lex.place[ids], np.zeros(len(ids))
@@ -364,6 +364,8 @@ class Trainer:
         return float(np.mean(losses)) if losses else 0.0
 
 
+#: Windows whose hidden layers are computed at once, few enough for the processor's cache.
+FORWARD = 64
 ONES = np.ones(WINDOW, np.float32)
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 SCALE = np.float32(WIDTH**-0.5)

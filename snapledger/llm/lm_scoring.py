@@ -23,7 +23,7 @@ END_WORD = np.uint64(0x2545F4914F6CDD1D)
 #: Bytes of text whose subwords are one row.
 BLOCK = 1 << 20
 #: Weights in a piece, and pieces that are averaged at once.
-PIECE, FAN = 1 << 18, 32
+PIECE, FAN = 1 << 18, 8
 WEIGHTS = "part long, piece long, n long, data binary"
 
 

@@ -1,10 +1,11 @@
 """Similarity join of documents on their sets of word shingles, by T-occurrence search.
 
 1. Documents with equal sets form a class; from here on a class is one set, however many copies it has.
-2. Sets in which a pair reaches the similarity share an element among the first few of each, in any order that all
-   sets follow. Here shingles that one class alone has come first, in order of their hashes: those with low hashes are counted
-   over all documents, and a Bloom filter holds the ones that recur. The most frequent ones come last. First elements that
-   one class alone has drop out, and with them most documents.
+2. A set's shingles are dealt by hash into parts, as many for all sets of a band of sizes. Two sets that reach the similarity differ in
+   few parts, so of those parts that hold a shingle they share a number that is known before; as with prefixes of sets, they then share one
+   of the first few of each, in any order that all sets follow. A part is one signature, of all shingles in it: unrelated sets share a shingle
+   here and there, the more so the more documents there are, but hardly ever all shingles of a part. Parts with many shingles
+   that aren't frequent come first. Classes that share no signature drop out, and with them most documents.
 3. What is left falls into components of sets that may be linked. Components are packed into blocks of bounded size, a component
    that exceeds a block into pairs of blocks of compatible sizes, and each block is searched with DivideSkip for links.
 4. Links, a spanning forest of them, join classes into groups; a document's group is named by its smallest id.
@@ -21,22 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom, words
-from .common import columns, frequent, join_hot, join_small, kept, packed, unpacked
+from . import words
+from .common import columns, frequent, join_few, join_hot, join_small, kept, packed, unpacked
 from .components import components
 from .occurrence import forest, least_size
 
 
 @dataclass(frozen=True)
 class Join:
-    """shingle: words. percent: least similarity. block: shingles that a task searches at once. pending: shingles between counts in a task. frequent: most shingles that are ordered by frequency. low: share of all shingles whose recurrence is looked up. filter_bytes: most bytes of the filter. The last three only order shingles, they drop none."""
+    """shingle: words. percent: least similarity. block: shingles that a task searches at once. pending: shingles between counts in a task. frequent: most shingles that count as frequent; that only orders signatures, it drops none. filter_bytes: most bytes of the filter that keeps texts out of a shuffle."""
 
     shingle: int = 5
     percent: int = 80
     block: int = 2_000_000
     pending: int = 6_000_000
     frequent: int = 1 << 19
-    low: float = 0.2
     filter_bytes: int = 16 << 20
 
 
@@ -94,84 +94,96 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
     return docs.select("id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "kind tinyint, a long, b long, n long, t long")
 
 
-class _Order:
-    """Ranks of shingles: 0 for those that seem to be one class's alone, 1 for those that recur, counts for the most frequent."""
+class _Frequent:
+    """The most frequent shingles."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, recurring: np.ndarray, limit: int):
-        order = np.argsort(tokens)
-        self.tokens, self.counts, self.recurring, self.limit = tokens[order], counts[order], recurring, np.uint64(limit)
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = np.sort(tokens)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[tokens & np.uint64(0xFFFFF)] = True
 
-    def ranks_of(self, s: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s), np.int64)
-        low = np.flatnonzero(s < self.limit)
-        out[low] = bloom.contains(self.recurring, s[low])
+    def holds(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), bool)
         if len(self.tokens):
             some = np.flatnonzero(self.maybe[s & np.uint64(0xFFFFF)])
-            at = np.minimum(np.searchsorted(self.tokens, s[some]), len(self.tokens) - 1)
-            own = self.tokens[at] == s[some]
-            out[some[own]] = self.counts[at[own]] + 1
+            out[some] = self.tokens[np.minimum(np.searchsorted(self.tokens, s[some]), len(self.tokens) - 1)] == s[some]
         return out
 
 
-def _recurring(docs: DataFrame, limit: int, join: Join) -> DataFrame:
-    """Shingles below ``limit`` that more than one class has, or one class in more than one partition. Counted in part before they are shuffled, so a hot one is a row of each task."""
+def parts_of(band: np.ndarray, percent: int) -> np.ndarray:
+    """Into how many parts the sets of a band (sizes from 2 ** band up to its double) are dealt: more than can differ, with a fifth to spare, of those that a set of the largest size fills."""
+    least = min(0.9, 1.2 * (100 - percent) / percent)
+    share = least
+    for _ in range(200):
+        share = least / (1 - np.exp(-1 / share)) if share else 0.0
+    return np.maximum(8, np.ceil(share * 2.0 ** (band + 1))).astype(np.uint64)
 
-    def low(batches):
-        seen = set()
-        for batch in batches:
-            for _, _, found in words.blocks(batch.column(1)):
-                s, at = words.shingles(found.hashes(), found.first, join.shingle)
-                out = []
-                for i, c in enumerate(_class_of(s, at).tolist()):
-                    if c not in seen:
-                        seen.add(c)
-                        own = s[at[i] : at[i + 1]]
-                        out.append(own[: np.searchsorted(own, np.uint64(limit))])
-                if out:
-                    yield _rows(token=np.concatenate(out).view(np.int64))
 
-    return docs.mapInArrow(low, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+def signatures(s: np.ndarray, at: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets that lie one after another, each sorted, such that different sets which reach the similarity share one: sets' numbers, and tokens. ``common``: which elements are frequent.
 
-
-def _first(s: np.ndarray, ranks: np.ndarray, keep: int) -> np.ndarray:
-    """The first elements of a sorted set, rare ones first."""
-    frequent = ranks > 0
-    rare = s[~frequent]
-    if len(rare) >= keep:
-        return rare[:keep]
-    last, r = s[frequent], ranks[frequent]
-    return np.concatenate([rare, last[np.lexsort((last, r))][: keep - len(rare)]])
-
-
-def _postings(docs: DataFrame, order, join: Join) -> DataFrame:
-    """(token, size, node) for the first elements of each class, once in a partition."""
+    Sets meet in the band of the larger one's size, so a set has signatures in its own band and in those that larger sets it could be linked with
+    fall in. Sets of a and b elements that are linked differ in at most (100 - percent) * (a + b) / (100 + percent) elements, so in as many parts at most, ``most``
+    over all partners in the band: of each set's parts that hold anything, all but ``most`` are the other's, too, and its first most + 1 share
+    one with the other's. Where so few parts are filled that this says nothing for either set, both have the band's own token.
+    """
+    n = np.diff(at)
+    largest = 100 * n // percent
+    exponent = lambda x: np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    low, high = exponent(n), exponent(largest)
+    owners, tokens = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for step in range(int((high - low).max()) + 1 if len(n) else 0):
+        band = low + step
+        most = (100 - percent) * (n + np.minimum(largest, 2 ** (band + 1) - 1)) // (100 + percent)
+        own = np.flatnonzero((n > 0) & (band <= high) & (most > 0))  # sets that differ in nothing are one class
+        if not len(own):
+            continue
+        size, k = n[own], band[own].astype(np.uint64)
+        of = np.repeat(np.arange(len(own)), size)
+        place = np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(len(of))
+        x, count = s[place], parts_of(band[own], percent)
+        part = ((x >> np.uint64(32)) * count[of]) >> np.uint64(32)
+        begin = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (of[1:] != of[:-1])])
+        held = np.diff(np.r_[begin, len(x)])
+        rare = np.add.reduceat(~common[place], begin, dtype=np.int64)
+        owner = of[begin]
+        token = words.mix(np.add.reduceat(words.mix(x ^ np.uint64(0x5851F42D4C957F2D)), begin) + words.mix(part[begin] * np.uint64(64) + k[owner]))
+        order = np.lexsort((token, -held, -rare, owner))
+        filled = np.bincount(owner, minlength=len(own))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
+        first = order[rank <= most[own][owner[order]]]
+        few = np.flatnonzero(filled <= most[own])
+        owners += [own[owner[first]], own[few]]
+        tokens += [token[first], words.mix(k[few] + np.uint64(1 << 40))]
+    return np.concatenate(owners), np.concatenate(tokens)
+
+
+def _postings(docs: DataFrame, frequent, join: Join) -> DataFrame:
+    """(token, size, node) for the signatures of each class, once in a partition."""
 
     def run(batches):
         seen = set()
         for batch in batches:
             for _, _, found in words.blocks(batch.column(1)):
                 s, at = words.shingles(found.hashes(), found.first, join.shingle)
-                of, ranks = _class_of(s, at).tolist(), order.value.ranks_of(s)
-                tokens, sizes, nodes = [], [], []
-                for i, c in enumerate(of):
-                    n = int(at[i + 1] - at[i])
-                    if not n or c in seen:
-                        continue
-                    seen.add(c)
-                    tokens.append(_first(s[at[i] : at[i + 1]], ranks[at[i] : at[i + 1]], n - least_size(n, join.percent) + 1))
-                    sizes.append(n)
-                    nodes.append(c)
-                if tokens:
-                    counts = [len(t) for t in tokens]
-                    yield _rows(token=np.concatenate(tokens).view(np.int64), size=np.repeat(np.array(sizes, np.int32), counts), node=np.repeat(np.array(nodes, np.int64), counts))
+                of, fresh = _class_of(s, at), []
+                for i, c in enumerate(of.tolist()):
+                    if c not in seen and at[i + 1] > at[i]:
+                        seen.add(c)
+                        fresh.append(i)
+                if fresh:
+                    size = np.diff(at)[fresh]
+                    place = np.repeat(at[fresh] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    own = s[place]
+                    owner, token = signatures(own, np.r_[0, np.cumsum(size)], frequent.value.holds(own), join.percent)
+                    if len(owner):
+                        yield _rows(token=token.view(np.int64), size=size[owner].astype(np.int32), node=of[fresh][owner])
 
     return docs.mapInArrow(run, "token long, size int, node long")
 
 
 def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that join classes which share a first element and have compatible sizes: on each list, in order of size, neighbours.
+    """Edges (a, b) that join classes which share a signature and have compatible sizes: on each list, in order of size, neighbours.
 
     If two neighbours' sizes are too far apart, so are those of all before and all after them; so the edges join what pairs would.
     """
@@ -255,16 +267,14 @@ def _named(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
     described = kept(_described(rows, join), "described")
     documents = described.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), "n", "t")
     recurring = described.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("count"))
-    top = columns(frequent(kept(recurring.filter("count >= 3"), "counts"), "count", join.frequent))
-    limit = int(join.low * 2**64)
-    words_ = bloom.build(kept(_recurring(rows, limit, join), "recurring"), "token", join.filter_bytes, hashed=True)
-    order = spark.sparkContext.broadcast(_Order(top["token"].astype(np.int64).view(np.uint64), top["count"].astype(np.int64), words_, limit))
+    top = columns(frequent(kept(recurring.filter("count >= 3"), "counts"), "count", join.frequent).select("token"))
+    most = spark.sparkContext.broadcast(_Frequent(top["token"].astype(np.int64).view(np.uint64)))
 
     classes = kept(documents.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-    candidates = components(_neighbours(_postings(rows, order, join), join.percent))
+    candidates = components(_neighbours(_postings(rows, most, join), join.percent))
     nodes = kept(candidates.join(classes, "node"), "candidates")
     wanted = kept(nodes.select("node", "id").join(_blocks(nodes, join), "node").select("id", "node", "task", "side"), "blocks")
-    links = kept(_links(join_small(rows, wanted, "id", "inner", salts=1), join), "links")
+    links = kept(_links(join_few(rows, wanted, "id", "inner", join.filter_bytes), join), "links")
     linked = components(links)
 
     named = linked.join(classes, "node").groupBy("component").agg(F.min("id").alias("component_id"))

@@ -164,3 +164,52 @@ def test_forest_joins_what_pairs_join(seed):
             if (sides is None or sides[i] != sides[j]) and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 wanted.append((i, j))
     assert trees(occurrence.forest(sets, percent, sides)) == trees(wanted)
+
+
+@pytest.mark.parametrize("percent", [40, 60, 80, 85, 95])
+def test_linked_sets_share_a_signature(percent):
+    """Sets about every border between bands, each beside near copies of all sizes it could be linked with."""
+    rng = np.random.default_rng(percent)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    sets = []
+    for n in [*range(1, 40), 63, 64, 65, 127, 128, 140, 255, 256, 300, 511, 512, 1000]:
+        s = fresh(n)
+        sets.append(s)
+        for _ in range(6):
+            sets.append(np.r_[s[rng.permutation(n)[: rng.integers(percent * n // 100, n + 1)]], fresh(rng.integers(0, n * (100 - percent) // 100 + 1))])
+    sets = [np.unique(s) for s in sets]
+    owner, token = ngram_join.signatures(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])], np.concatenate(sets) % np.uint64(3) == 0, percent)
+    own = [set(token[owner == i].tolist()) for i in range(len(sets))]
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(max(0, i - 7), i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and not np.array_equal(sets[i], sets[j]):
+                linked += 1
+                assert own[i] & own[j], (len(sets[i]), len(sets[j]), both)
+    assert linked > 50
+    assert all(len(own[i]) <= 3 * len(s) + 3 for i, s in enumerate(sets))
+
+
+def test_chance_doesnt_make_candidates(spark, monkeypatch):
+    """Texts put together from the same sentences share many shingles but aren't alike: few of them are searched, and the groups are right."""
+    r = random.Random(5)
+    pool = [" ".join(f"s{i}w{j}" for j in range(12)) for i in range(400)]
+    rows = [(i, " ".join(r.sample(pool, 30))) for i in range(200)]
+    rows += [(1000 + i, " ".join(rows[i][1].split()[3:])) for i in range(5)]
+    found, own = {}, ngram_join.kept
+    monkeypatch.setattr(ngram_join, "kept", lambda df, name: found.setdefault(name, own(df, name)))
+    assert run(spark, rows, ngram_join.CONTRACT) == brute(rows, 4, 85)
+    assert 10 <= found["candidates"].count() <= 20
+
+
+def test_filtered_joins_equal_broadcast_ones(spark, monkeypatch):
+    from snapledger.llm import common
+
+    rows = corpus(6)
+    one = lambda: sorted((r[0] for r in ngram_join.one_of_each(df).collect()), key=str)
+    df = spark.createDataFrame([(k, t, "clash") for k, t in rows], SCHEMA).repartition(5)
+    wanted = one()
+    monkeypatch.setattr(ngram_join, "join_few", lambda *a: common.join_few(*a, bound=0))
+    assert run(spark, rows, Join()) == brute(rows, 5, 80)
+    assert one() == wanted

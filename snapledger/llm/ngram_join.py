@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import columns, frequent, join_few, join_hot, join_small, kept, packed, unpacked
+from .common import columns, frequent, join_few, join_hot, kept, packed, unpacked
 from .components import components
 from .occurrence import forest, least_size
 
@@ -300,7 +300,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", join:
     """One row of each group, unchanged: one with the smallest key, null keys last, and among those one with the least digest of its text.
 
     Documents without words are in no group and stay, every row. Of repeated rows one stays. Rows are told apart by key and text, so other
-    texts under the key of a copy stay. Text is shuffled only where key and text are repeated, one row of each task.
+    texts under the key of a copy stay. Text is shuffled only where key and text are repeated, one row of each task, and where more rows than can
+    be broadcast belong to copies, for those that a filter takes for one.
     """
     named = kept(_named(docs, key, text, join).filter("n > 0"), "named")
     first = named.groupBy("component").agg(F.min(F.struct("id", "t")).alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -310,7 +311,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", join:
     marked = kept(marked.filter("not _stays or _n > 1"), "near-copies")
     row = F.col("_row")
     own = F.concat_ws(":", F.coalesce(row.getField(key).cast("long"), F.lit(NULL_ID)), F.xxhash64(row.getField(text)))
-    rows = join_small(packed(docs).withColumn("_name", own), marked.select("_name", "_stays"), "_name", salts=1)
+    rows = join_few(packed(docs).withColumn("_name", own), marked.select("_name", "_stays"), "_name", "left", join.filter_bytes)
     once = rows.filter(F.col("_stays").isNull()).select("_row")
     left = once.unionByName(rows.filter("_stays").groupBy("_name").agg(F.first("_row").alias("_row")).select("_row"))
     return left.select(*unpacked(left, docs.columns))

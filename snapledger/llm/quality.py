@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import columns, packed, unpacked
+from .common import columns, packed, released, unpacked
 
 GOOD, JUNK, NOTHING = 2, 1, 0
 #: Labellers: statistic, votes junk from or up to (by the sign of the comparison), votes good within.
@@ -212,9 +213,15 @@ def fitted(docs: DataFrame, text: str = "text", fit: Fit = Fit()) -> Model:
     h = F.pmod(F.xxhash64("text", F.lit(fit.seed)), F.lit(1 << 30))
     some = rows.select("text", h.alias("h")).filter(F.col("h") < F.lit(int(part * (1 << 30)))).distinct()  # a text counts once, however many rows hold it
     some = some.orderBy("h", "text").limit(2 * fit.sample).select("text").repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    got = some.mapInArrow(sampled, "pattern long, x binary").toPandas().sort_values(["pattern", "x"])
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32) if len(got) else np.empty((0, BUCKETS), np.float32)
-    y = np.array([posterior[p] for p in got["pattern"]], np.float32)
+    got = some.mapInArrow(sampled, "pattern long, x binary").toArrow().combine_chunks()
+    order = pc.sort_indices(got, [("pattern", "ascending"), ("x", "ascending")]).to_numpy()
+    x = np.empty((len(got), BUCKETS), np.float32)
+    if len(got):
+        data = got["x"].chunk(0)
+        x[:] = np.frombuffer(data.buffers()[2], np.float16, len(got) * BUCKETS, 2 * BUCKETS * data.offset).reshape(-1, BUCKETS)[order]
+    y = np.array([posterior[p] for p in got["pattern"].to_numpy()[order].tolist()], np.float32)
+    del got
+    released()
     weights, bias = train(x, y, fit)
     return Model(share, table, posterior, weights, bias, fit)
 

@@ -45,6 +45,18 @@ def test_copies_of_a_text_dont_crowd_others_out(spark, monkeypatch):
     assert sizes == [31, 1 + others]
 
 
+def test_sample_reaches_the_driver_as_one_matrix(spark, monkeypatch):
+    """No Python object for each row of the sample, and rows in one order, however they were dealt."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("rows as objects"))
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, y, fit: (seen.append((x, y)), (np.zeros(x.shape[1], np.float32), 0.0))[1])
+    for parts in (1, 5):
+        quality.fitted(df.repartition(parts))
+    assert seen[0][0].shape[1] == quality.BUCKETS and len(seen[0][0]) == df.distinct().count()
+    assert all(np.array_equal(a, b) for a, b in zip(*seen, strict=True))
+
+
 def _hash(spark, text, seed):
     return spark.range(1).select(F.pmod(F.xxhash64(F.lit(text), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).first()[0]
 

@@ -47,13 +47,13 @@ class Subwords:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.pool, self.used = np.empty(1 << 16, np.int32), 0
         self.begin, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, hashes: list[int], spelled: list[str]) -> None:
+    def _learn(self, spelled: list[str]) -> None:
         """Many words are cut at once, a line each: a line feed is one id, and no word holds one."""
-        odd = [bool(ODD.search(w)) for w in spelled]
+        odd = [bool(ODD.search(w)) for w in spelled] if ODD.search("\n".join(spelled)) else [False] * len(spelled)
         ids = np.array(self.encode("\n".join(" " + ("-" if o else w) for w, o in zip(spelled, odd, strict=True)) + "\n -"), np.int32)
         stops = np.flatnonzero(ids == self.stop)
         if len(stops) != len(spelled):
@@ -68,24 +68,29 @@ class Subwords:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        first = len(self.place)
+        first = len(self.keys)
         while first + len(n) > len(self.n):
             self.n, self.begin = np.concatenate([self.n, np.empty_like(self.n)]), np.concatenate([self.begin, np.empty_like(self.begin)])
         self.n[first : first + len(n)] = n
         self.begin[first : first + len(n)] = self.used + np.cumsum(n) - n
         self.used += len(flat)
-        self.place.update(zip(hashes, range(first, first + len(n)), strict=True))
 
     def cut(self, h: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words with hashes h, one after another, and where each word's begin. ``spelled(i)`` gives word i."""
         own, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.place) > KNOWN:
+        if len(self.keys) > KNOWN:
             self.forget()
-        keys = own.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.place]
-        if new:
-            self._learn([keys[i] for i in new], [spelled(i).decode("utf-8", "replace") for i in at[new].tolist()])
-        where = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
+        spot = np.searchsorted(self.keys, own)
+        new = np.ones(len(own), bool)
+        within = spot < len(self.keys)
+        new[within] = self.keys[spot[within]] != own[within]
+        if new.any():
+            first = len(self.keys)
+            self._learn([spelled(i).decode("utf-8", "replace") for i in at[new].tolist()])
+            self.place = np.insert(self.place, spot[new], np.arange(first, first + int(new.sum())))
+            self.keys = np.insert(self.keys, spot[new], own[new])
+            spot += np.cumsum(new) - new
+        where = self.place[spot][back]
         counts = self.n[where]
         first = np.r_[0, np.cumsum(counts)]
         return self.pool[np.repeat(self.begin[where] - first[:-1], counts) + np.arange(first[-1])], first
@@ -222,19 +227,51 @@ class Net:
         return h, q, k, v, a, u, np.maximum(z, 0, out=z)
 
 
-def _weighed(logits: np.ndarray, prior: np.ndarray, row: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In place, prior times exp(logits), which are held within LIMIT: totals of rows, and y's."""
+class Known:
+    """What of a net's hidden layer depends on one place alone, for all places and positions: scoring, whose weights stand, looks it up instead of computing it at each place of each window.
+
+    Query, key, and the hidden layer's shares of the value, of the subword before and of the one before that; the same sums as in ``forward``, in another order.
+    """
+
+    def __init__(self, net: Net):
+        q, k, v = (net.a[:, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        last, earlier, seen = (net.w[i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        self.at = [(net.e @ m, net.p @ m) for m in (q * SCALE, k, v @ seen, last, earlier)]
+        self.at[3] = self.at[3][0], self.at[3][1] + net.c
+
+    def hidden(self, x: np.ndarray, skip: int = 0) -> np.ndarray:
+        """The hidden layer of windows of places, a row for each position but the first ``skip``, which are context only."""
+        n = x.shape[1]
+        q, k, v, last, earlier = self.at
+        look = lambda by, begin, end: by[0].take(x[:, begin:end], axis=0) + by[1][begin:end]
+        a = np.matmul(look(q, skip, n), look(k, 0, n).transpose(0, 2, 1))
+        np.minimum(a, 30, out=a)
+        np.exp(a, out=a)
+        a *= SEEN[skip:n, :n]
+        z = np.matmul(a, look(v, 0, n))
+        z /= (a.reshape(-1, n) @ ONES[:n]).reshape(len(x), n - skip, 1)
+        z += look(last, skip, n)
+        begin = max(skip, 1)
+        z[:, begin - skip :] += earlier[0].take(x[:, begin - 1 : n - 1], axis=0)
+        z[:, begin - skip :] += earlier[1][begin - 1 : n - 1]
+        z = z.reshape(-1, HIDDEN)
+        return np.maximum(z, 0, out=z)
+
+
+def _weighed(logits: np.ndarray, prior: np.ndarray, row: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In place, prior times exp(logits), which are held within LIMIT: totals of rows, y's, and where y's lie among all."""
     np.clip(logits, -LIMIT, LIMIT, out=logits)
     np.exp(logits, out=logits)
     logits *= prior.take(row, axis=0)
-    return logits @ np.ones(logits.shape[1], logits.dtype), logits[np.arange(len(y)), y]
+    at = np.arange(0, logits.size, logits.shape[1]) + y
+    return logits @ np.ones(logits.shape[1], logits.dtype), logits.reshape(-1).take(at), at
 
 
 def _errors(logits: np.ndarray, prior: np.ndarray, row: np.ndarray, y: np.ndarray, n: int) -> float:
     """In place, gradients of the mean cross-entropy over n; gives the sum of the cross-entropy."""
-    total, picked = _weighed(logits, prior, row, y)
+    total, picked, at = _weighed(logits, prior, row, y)
     logits *= (1 / (n * total))[:, None]
-    logits[np.arange(len(y)), y] -= logits.dtype.type(1 / n)
+    logits.reshape(-1)[at] = picked / (n * total) - logits.dtype.type(1 / n)
     return float(np.log(total / picked).sum())
 
 
@@ -259,17 +296,21 @@ class Model:
         at = np.searchsorted(cls[order], np.arange(len(self.lex.begin)))
         return cls, order, [(c, self.lex.begin[c], self.lex.begin[c + 1], slice(at[c], at[c + 1])) for c in np.flatnonzero(np.diff(at))]
 
-    def logs(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> np.ndarray:
-        """Natural logarithms of P(y) where ``on``, in order."""
+    def logs(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, known: Known, skip: int = 0) -> np.ndarray:
+        """Natural logarithms of P(y) where ``on``, in order; y and on lack the first ``skip`` places of the windows x."""
         at = np.flatnonzero(on)
-        z = np.concatenate([self.net.forward(x[i : i + FORWARD])[-1].take(np.flatnonzero(on[i : i + FORWARD]), axis=0) for i in range(0, len(x), FORWARD)])
-        y, row = y.ravel()[at], self.lex.row[x.ravel()[at]]
+        y, row = y.ravel()[at], self.lex.row[x[:, skip:].ravel()[at]]
         cls, order, groups = self._each_class(y)
-        total, picked = _weighed(z @ self.net.o, self.of_class, row, cls)
-        out = (picked / total).astype(np.float64)
+        z, out, begin = np.empty((len(at), HIDDEN), self.net.e.dtype), np.empty(len(at)), 0
+        for i in range(0, len(x), FORWARD):
+            own = known.hidden(x[i : i + FORWARD], skip).take(np.flatnonzero(on[i : i + FORWARD]), axis=0)
+            end = begin + len(own)
+            total, picked, _ = _weighed(own @ self.net.o, self.of_class, row[begin:end], cls[begin:end])
+            z[begin:end], out[begin:end] = own, picked / total
+            begin = end
         z, y, row, within = z.take(order, axis=0), y[order], row[order], np.empty(len(at), np.float32)
         for c, begin, end, of in groups:
-            total, picked = _weighed(z[of] @ self.net.r[begin:end].T, self.prior[c], row[of], y[of] - begin)
+            total, picked, _ = _weighed(z[of] @ self.net.r[begin:end].T, self.prior[c], row[of], y[of] - begin)
             within[of] = picked / total
         out[order] *= within
         return np.log(out)
@@ -277,41 +318,50 @@ class Model:
     def gradients(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float]:
         """Of the mean cross-entropy of y where ``on``: the places whose embeddings x holds, gradients in order of the net's parts (the embeddings' for those places), and the loss."""
         net, (m, t) = self.net, x.shape
-        h, q, k, v, a, u, every = net.forward(x)
+        chunks = [slice(i, i + BACKWARD) for i in range(0, m, BACKWARD)]
+        passed = [net.forward(x[c]) for c in chunks]
+        every = np.concatenate([p[-1] for p in passed])
         at = np.flatnonzero(on)
         n = max(1, len(at))
+        cls, order, groups = self._each_class(y.ravel()[at])
+        at, cls = at[order], cls[order]
         z, y, row = every.take(at, axis=0), y.ravel()[at], self.lex.row[x.ravel()[at]]
-        cls, order, groups = self._each_class(y)
-        logits = z @ net.o
-        loss = _errors(logits, self.of_class, row, cls, n)
-        do, dz = z.T @ logits, logits @ net.o.T
-        dr, zs, ys, rows = np.zeros_like(net.r), z.take(order, axis=0), y[order], row[order]
-        within = np.empty_like(zs)
+        do, dz, dr, loss = np.zeros_like(net.o), np.empty_like(z), np.zeros_like(net.r), 0.0
+        for i in range(0, len(at), BACKWARD * WINDOW):
+            of = slice(i, i + BACKWARD * WINDOW)
+            logits = z[of] @ net.o
+            loss += _errors(logits, self.of_class, row[of], cls[of], n)
+            do += z[of].T @ logits
+            np.matmul(logits, net.o.T, out=dz[of])
         for c, begin, end, of in groups:
             own = net.r[begin:end]
-            logits = zs[of] @ own.T
-            loss += _errors(logits, self.prior[c], rows[of], ys[of] - begin, n)
-            dr[begin:end] = logits.T @ zs[of]
-            within[of] = logits @ own
-        dz[order] += within
+            logits = z[of] @ own.T
+            loss += _errors(logits, self.prior[c], row[of], y[of] - begin, n)
+            dr[begin:end] = logits.T @ z[of]
+            dz[of] += logits @ own
         dz *= z > 0
         full = np.zeros_like(every)
         full[at] = dz
-        dw, dc = u.reshape(-1, 3 * WIDTH).T @ full, full.sum(0)
-        du = (full @ net.w.T).reshape(m, t, 3 * WIDTH)
-        dh, dt = du[..., :WIDTH].copy(), np.ascontiguousarray(du[..., 2 * WIDTH :])
-        dh[:, :-1] += du[:, 1:, WIDTH : 2 * WIDTH]
-        da, dv = np.matmul(dt, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dt)
-        da -= ((da * a).reshape(-1, t) @ np.ones(t, da.dtype)).reshape(m, t, 1)
-        da *= a
-        dall = np.empty((m, t, 3 * WIDTH), h.dtype)
-        dall[..., :WIDTH] = np.matmul(da, k)
-        dall[..., :WIDTH] *= SCALE
-        dall[..., WIDTH : 2 * WIDTH] = np.matmul(da.transpose(0, 2, 1), q)
-        dall[..., 2 * WIDTH :] = dv
-        dall = dall.reshape(-1, 3 * WIDTH)
-        dattend = h.reshape(-1, WIDTH).T @ dall
-        dh += (dall @ net.a.T).reshape(m, t, WIDTH)
+        dw, dc, dattend, dh = np.zeros_like(net.w), np.ones(len(full), full.dtype) @ full, np.zeros_like(net.a), np.empty((m, t, WIDTH), full.dtype)
+        for c, (h, q, k, v, a, u, _) in zip(chunks, passed, strict=True):
+            own = full[c.start * t : c.stop * t]
+            dw += u.reshape(-1, 3 * WIDTH).T @ own
+            du = (own @ net.w.T).reshape(-1, t, 3 * WIDTH)
+            dt = np.ascontiguousarray(du[..., 2 * WIDTH :])
+            da, dv = np.matmul(dt, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dt)
+            da -= ((da * a).reshape(-1, t) @ np.ones(t, da.dtype)).reshape(-1, t, 1)
+            da *= a
+            dall = np.empty_like(du)
+            dall[..., :WIDTH] = np.matmul(da, k)
+            dall[..., :WIDTH] *= SCALE
+            dall[..., WIDTH : 2 * WIDTH] = np.matmul(da.transpose(0, 2, 1), q)
+            dall[..., 2 * WIDTH :] = dv
+            dall = dall.reshape(-1, 3 * WIDTH)
+            dattend += h.reshape(-1, WIDTH).T @ dall
+            into = dh[c]
+            np.matmul(dall, net.a.T, out=into.reshape(-1, WIDTH))
+            into += du[..., :WIDTH]
+            into[:, :-1] += du[:, 1:, WIDTH : 2 * WIDTH]
         dp = np.zeros_like(net.p)
         dp[:t] = dh.sum(0)
         place = x.ravel()
@@ -322,11 +372,14 @@ class Model:
     def score(self, ids: np.ndarray, first: np.ndarray, batch: int = 1024) -> np.ndarray:
         """log10 probability of each id of texts that lie one after another."""
         x, target = windows(ids, first)
-        x, y, out = self.lex.place[x], self.lex.place[ids], np.zeros(len(ids))
-        for i in range(0, len(x), batch):
-            to = target[i : i + batch]
-            on = to >= 0
-            out[to[on]] = self.logs(x[i : i + batch], y[np.maximum(to, 0)], on)
+        x, y, out, known = self.lex.place[x], self.lex.place[ids], np.zeros(len(ids)), Known(self.net)
+        for skip, some in (0, target[:, 0] >= 0), (WINDOW - STRIDE, target[:, 0] < 0):
+            some = np.flatnonzero(some)
+            for i in range(0, len(some), batch):
+                own = some[i : i + batch]
+                to = target[own, skip:]
+                on = to >= 0
+                out[to[on]] = self.logs(x[own], y[np.maximum(to, 0)], on, known, skip)
         return (out - np.log(self.lex.lacking[y])) / np.log(10)
 
 
@@ -364,8 +417,8 @@ class Trainer:
         return float(np.mean(losses)) if losses else 0.0
 
 
-#: Windows whose hidden layers are computed at once, few enough for the processor's cache.
-FORWARD = 64
+#: Windows whose hidden layers are computed at once when scoring, and when training, where more is kept of each; few enough for the processor's cache.
+FORWARD, BACKWARD = 64, 32
 ONES = np.ones(WINDOW, np.float32)
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 SCALE = np.float32(WIDTH**-0.5)

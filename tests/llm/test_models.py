@@ -209,6 +209,50 @@ def test_gradients():
             assert abs((up - down) / 2e-6 - grads[k][at]) < 1e-5 * max(1, abs(grads[k][at])), k
 
 
+def test_scoring_computes_only_places_it_scores(monkeypatch):
+    """What later windows share with the one before is context: no hidden layer is computed there, and what is computed is forward's."""
+    model = _model(CORPUS)
+    x = model.lex.place[np.random.default_rng(6).choice(_ids(CORPUS)[0], (5, lm.WINDOW))]
+    whole = model.net.forward(x)[-1].reshape(5, lm.WINDOW, lm.HIDDEN)
+    for skip in (0, 1, lm.WINDOW - lm.STRIDE):
+        assert np.allclose(lm.Known(model.net).hidden(x, skip), whole[:, skip:].reshape(-1, lm.HIDDEN), atol=1e-4)
+    rows, real = [], lm.Known.hidden
+    monkeypatch.setattr(lm.Known, "hidden", lambda self, x, skip=0: rows.append(len(x) * (lm.WINDOW - skip)) or real(self, x, skip))
+    ids, first = _ids(["the mat sat on a dog " * 60, "cat"])
+    model.score(ids, first)
+    later = -(-(first[1] - lm.WINDOW) // lm.STRIDE)
+    assert sum(rows) == 2 * lm.WINDOW + later * lm.STRIDE
+
+
+def test_gradients_in_chunks(monkeypatch):
+    model, rng = _model(CORPUS), np.random.default_rng(8)
+    x, y = rng.integers(0, model.lex.size, (7, lm.WINDOW)), rng.integers(0, model.lex.size, (7, lm.WINDOW))
+    on = rng.random((7, lm.WINDOW)) < 0.7
+    places, whole, loss = model.gradients(x, y, on)
+    passed, real = [], lm.Net.forward
+    monkeypatch.setattr(lm.Net, "forward", lambda self, x: passed.append(len(x)) or real(self, x))
+    monkeypatch.setattr(lm, "BACKWARD", 3)
+    got = model.gradients(x, y, on)
+    assert passed == [3, 3, 1] and (got[0] == places).all() and abs(got[2] - loss) < 1e-5
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(got[1], whole, strict=True))
+
+
+def test_words_are_remembered(monkeypatch):
+    """Words known, new or forgotten are cut as they are alone, and no word is cut twice while it is known."""
+    subwords, learnt, real = lm.Subwords(lm_scoring._path(Scoring())), [], lm.Subwords._learn
+    monkeypatch.setattr(lm.Subwords, "_learn", lambda self, spelled: learnt.append(len(spelled)) or real(self, spelled))
+    for text in ("the mat sat", "mat, sat the mat", "the mat sat mat,", "quartz a\u00a0b the " * 3):
+        (found,) = [w for _, _, w in words.blocks(pa.array([text]))]
+        got, first = lm_scoring._ids(found, subwords, found.hashes())
+        alone = [subwords.encode(" " + w) for w in text.split(" ") if w]
+        assert got.tolist() == [*sum(alone, []), lm.END] and first.tolist() == [0, len(got)]
+    assert learnt == [3, 1, 2]
+    monkeypatch.setattr(lm, "KNOWN", 2)
+    (found,) = [w for _, _, w in words.blocks(pa.array(["sat the"]))]
+    assert lm_scoring._ids(found, subwords, found.hashes())[0].tolist() == [*subwords.encode(" sat"), *subwords.encode(" the"), lm.END]
+    assert learnt == [3, 1, 2, 2] and len(subwords.keys) == 2
+
+
 def test_untrained_model_is_its_prior():
     ids, first = _ids(CORPUS)
     rank, row, rows = lm.ranked(np.bincount(ids, minlength=lm.SIZE))

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .words import Places
+
 #: Ids of the vocabulary, then the end of a text, which also stands before its beginning.
 END = 50_256
 SIZE = 50_257
@@ -46,24 +48,30 @@ class Subwords:
         (self.stop,) = self.encode("\n")
         self.forget()
 
+    @property
+    def keys(self) -> np.ndarray:
+        return self.places.keys
+
     def forget(self) -> None:
-        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.places = Places()
         self.pool, self.used = np.empty(1 << 16, np.int32), 0
         self.begin, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _learn(self, spelled: list[str]) -> None:
         """Many words are cut at once, a line each: a line feed is one id, and no word holds one."""
-        odd = [bool(ODD.search(w)) for w in spelled] if ODD.search("\n".join(spelled)) else [False] * len(spelled)
-        ids = np.array(self.encode("\n".join(" " + ("-" if o else w) for w, o in zip(spelled, odd, strict=True)) + "\n -"), np.int32)
+        lines = "\n ".join(spelled)
+        odd = [bool(ODD.search(w)) for w in spelled] if ODD.search(lines) else []
+        if odd:
+            lines = "\n ".join("-" if o else w for w, o in zip(spelled, odd, strict=True))
+        ids = np.array(self.encode(f" {lines}\n -"), np.int32)
         stops = np.flatnonzero(ids == self.stop)
         if len(stops) != len(spelled):
             raise RuntimeError("a word holds a line feed")
-        pieces = np.split(ids, stops)[:-1] if any(odd) else None
-        if pieces is None:
+        if not odd:
             n = np.diff(np.r_[-1, stops]) - 1
             flat = np.delete(ids[: stops[-1] + 1], stops)
         else:
-            pieces = [np.array(self.encode(" " + w), np.int32) if o else p[p != self.stop] for p, w, o in zip(pieces, spelled, odd, strict=True)]
+            pieces = [np.array(self.encode(" " + w), np.int32) if o else p[p != self.stop] for p, w, o in zip(np.split(ids, stops)[:-1], spelled, odd, strict=True)]
             n, flat = np.array([len(p) for p in pieces], np.int64), np.concatenate(pieces)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
@@ -76,21 +84,16 @@ class Subwords:
         self.used += len(flat)
 
     def cut(self, h: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words with hashes h, one after another, and where each word's begin. ``spelled(i)`` gives word i."""
-        own, at, back = np.unique(h, return_index=True, return_inverse=True)
+        """Ids of words with hashes h, one after another, and where each word's begin. ``spelled`` gives the words with some numbers."""
         if len(self.keys) > KNOWN:
             self.forget()
-        spot = np.searchsorted(self.keys, own)
-        new = np.ones(len(own), bool)
-        within = spot < len(self.keys)
-        new[within] = self.keys[spot[within]] != own[within]
-        if new.any():
-            first = len(self.keys)
-            self._learn([spelled(i).decode("utf-8", "replace") for i in at[new].tolist()])
-            self.place = np.insert(self.place, spot[new], np.arange(first, first + int(new.sum())))
-            self.keys = np.insert(self.keys, spot[new], own[new])
-            spot += np.cumsum(new) - new
-        where = self.place[spot][back]
+        where = self.places.find(h)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            own, at = np.unique(h[new], return_index=True)
+            self._learn(spelled(new[at]))
+            self.places.add(own)
+            where[new] = self.places.find(h[new])
         counts = self.n[where]
         first = np.r_[0, np.cumsum(counts)]
         return self.pool[np.repeat(self.begin[where] - first[:-1], counts) + np.arange(first[-1])], first

@@ -51,9 +51,14 @@ def _path(scoring: Scoring) -> str:
 
 def _ids(found: words.Words, subwords: lm.Subwords, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Subwords of a block's texts, each text closed by an end: ids, and where texts begin."""
-    cut, first = subwords.cut(h, lambda i: found.data[found.starts[i] : found.ends[i]].tobytes())
+    cut, first = subwords.cut(h, found.spelled)
     at = first[found.first]
-    return np.insert(cut, at[1:], lm.END).astype(np.int64), np.r_[0, np.cumsum(np.diff(at) + 1)]
+    first = np.r_[0, np.cumsum(np.diff(at) + 1)]
+    inside = np.ones(first[-1], bool)
+    inside[first[1:] - 1] = False
+    ids = np.full(len(inside), lm.END, np.int64)
+    ids[inside] = cut
+    return ids, first
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -223,9 +228,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", scoring: Sc
     top = columns(frequent(counts, "c", scoring.frequent))
     model = _model(tokens, training, scoring)
     logs = np.log10((top["c"].astype(np.float64) + 1) / (total + known + 1.0))
-    words_ = top["h"].astype(np.int64).view(np.uint64)
-    order = np.argsort(words_)
-    sent = spark.sparkContext.broadcast((model, words_[order], logs[order]))
+    sent = spark.sparkContext.broadcast((model, top["h"].astype(np.int64).view(np.uint64), logs))
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     every = kept(_scores(numbered, sent, scoring), "lm-scores")
@@ -243,15 +246,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", scoring: Sc
 def _scores(numbered: DataFrame, sent, scoring: Scoring) -> DataFrame:
     """For each row of numbered(row, id, held_out, text) a row with null ``h``: tokens, and what the sent words and the model give. Beside it a row for each of its words that isn't sent: its hash ``h`` and how often it stands there."""
 
-    def look(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, frequent, logs = sent.value
-        if not len(frequent):
-            return np.zeros(len(h), bool), np.zeros(len(h))
-        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        return frequent[at] == h, logs[at]
-
     def run(batches):
-        model, subwords = sent.value[0], lm.Subwords(_path(scoring))
+        model, frequent, logs = sent.value
+        subwords, places, logs = lm.Subwords(_path(scoring)), words.Places(frequent), np.r_[logs, 0.0]
+
+        def look(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = places.find(h)
+            return at >= 0, logs[at]
+
         end_hit, end_log = look(np.array([END_WORD]))
         for batch in batches:
             row, ids_of, held = batch.column("row").to_numpy(zero_copy_only=False), batch.column("id"), batch.column("held_out")

@@ -10,10 +10,6 @@ import pyarrow as pa
 
 #: Bytes of text that are looked at together; a longer text is looked at alone.
 BLOCK = 4 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
 _PLACES = np.random.default_rng(20_240_229).integers(1 << 63, size=4096, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,6 +21,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are 0x20 or 0x09 to 0x0D."""
+    return (data == 0x20) | (data - np.uint8(0x09) < 5)
+
+
+class Places:
+    """Numbers distinct hashes in the order they are added in. An open table of cells: a hash's cell is its first bits', or the next that is free."""
+
+    def __init__(self, h: np.ndarray | None = None):
+        self.keys = np.empty(0, np.uint64)
+        self._cells(1 << 16)
+        if h is not None:
+            self.add(h)
+
+    def _cells(self, n: int) -> None:
+        self.cells, self.shift = np.full(n, -1, np.int32), np.uint64(65 - n.bit_length())
+
+    def _put(self, first: int) -> None:
+        left = np.arange(first, len(self.keys), dtype=np.int32)
+        cell = (self.keys[first:] >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.cells[cell] < 0
+            self.cells[cell[free]] = left[free]
+            lost = self.cells[cell] != left
+            left, cell = left[lost], cell[lost] + 1 & len(self.cells) - 1
+
+    def add(self, h: np.ndarray) -> None:
+        """Hashes that are distinct and not yet known."""
+        first = len(self.keys)
+        self.keys = np.concatenate([self.keys, h])
+        if 3 * len(self.keys) > len(self.cells):
+            self._cells(1 << (4 * len(self.keys)).bit_length())
+            first = 0
+        self._put(first)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it isn't known."""
+        if not len(self.keys):
+            return np.full(len(h), -1, np.int32)
+        cell = (h >> self.shift).astype(np.int64)
+        out = self.cells.take(cell)
+        other = np.flatnonzero((self.keys[out] != h) & (out >= 0))
+        cell = cell[other]
+        while len(other):
+            cell = cell + 1 & len(self.cells) - 1
+            out[other] = at = self.cells.take(cell)
+            lost = (self.keys[at] != h[other]) & (at >= 0)
+            other, cell = other[lost], cell[lost]
+        return out
+
+
 @dataclass
 class Words:
     """Words of a block of texts. data: its bytes, A-Z lower-cased. starts, ends: of words in data. first: for each text the number of its first word, and one more at the end."""
@@ -38,15 +85,28 @@ class Words:
     def hashes(self) -> np.ndarray:
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        lengths = self.ends - self.starts
-        at = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(at, lengths)
-        own = self.data[place + np.repeat(self.starts, lengths)]
-        h = (own.astype(np.uint64) + np.uint64(1)) * _PLACES[place & 4095]
-        if lengths.max() > 4096:
-            h += (place >> 12).astype(np.uint64) * _STEP * own
+        lengths, at, end = self.ends - self.starts, self.starts - self.starts[0], int(self.ends[-1])
+        data = self.data[self.starts[0] : end]
+        place = np.arange(len(data), dtype=np.int64)
+        place -= np.repeat(at, np.diff(self.starts, append=end))
+        inside = ~_space(data)
+        long = place.max() > 4095  # white space counts on from the word before it
+        h = _PLACES.take(place & 4095 if long else place)
+        h *= (data.astype(np.uint16) + np.uint16(1)) * inside
+        if long and lengths.max() > 4096:
+            h += (place >> 12).astype(np.uint64) * _STEP * (data * inside)
         return mix(np.add.reduceat(h, at) + lengths.astype(np.uint64) * _STEP)
 
+    def spelled(self, which: np.ndarray) -> list[str]:
+        """The words with these numbers, gathered and decoded at once."""
+        if not len(which):
+            return []
+        starts, n = self.starts[which], self.ends[which] - self.starts[which] + 1
+        stop = np.cumsum(n)
+        own = self.data.take(np.arange(stop[-1]) + np.repeat(starts - stop + n, n), mode="clip")
+        own[stop - 1] = 0x0A
+        return own[:-1].tobytes().decode("utf-8", "replace").split("\n")
+
     def text(self, i: int) -> list[bytes]:
         """The words of text i."""
         return [self.data[a:b].tobytes() for a, b in zip(self.starts[self.first[i] : self.first[i + 1]], self.ends[self.first[i] : self.first[i + 1]], strict=True)]
@@ -54,7 +114,7 @@ class Words:
 
 def split(data: np.ndarray, bounds: np.ndarray) -> Words:
     """Words of texts that lie one after another in data, between bounds."""
-    word = ~_SPACE[data]
+    word = ~_space(data)
     before = np.empty(len(data), bool)
     before[:1], before[1:] = False, word[:-1]
     inner = bounds[:-1][bounds[:-1] < len(data)]
@@ -65,7 +125,7 @@ def split(data: np.ndarray, bounds: np.ndarray) -> Words:
     last = bounds[1:] - 1
     after[last[(last >= 0) & (bounds[1:] > bounds[:-1])]] = False
     ends = np.flatnonzero(word & ~after) + 1
-    return Words(data, _LOWER[data], starts, ends, np.searchsorted(starts, bounds))
+    return Words(data, data + ((data - np.uint8(0x41) < 26) * np.uint8(0x20)), starts, ends, np.searchsorted(starts, bounds))
 
 
 def blocks(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, Words]]:

@@ -253,6 +253,42 @@ def test_words_are_remembered(monkeypatch):
     assert learnt == [3, 1, 2, 2] and len(subwords.keys) == 2
 
 
+def test_new_words_are_spelled_at_once():
+    """One call for all new words of a block, none for those known, however many there are."""
+    subwords, calls = lm.Subwords(lm_scoring._path(Scoring())), []
+    texts = [" ".join(f"w{i} É{i}" for i in range(3_000)), None, "", "w7\x0bw7 x\u2003y " + "z" * 5_000]
+    for _ in range(2):
+        (found,) = [w for _, _, w in words.blocks(pa.array(texts))]
+        every = [w.decode() for i in range(len(texts)) for w in found.text(i)]
+        assert found.spelled(np.arange(len(every))) == every and found.spelled(np.arange(0)) == []
+        got, first = subwords.cut(found.hashes(), lambda which, found=found: calls.append(len(which)) or found.spelled(which))
+        assert [got[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [subwords.encode(" " + w) for w in every]
+    assert calls == [len(set(every))]
+
+
+def test_places_of_clashing_hashes():
+    """Hashes that share their first bits, and the table's last cells, are told apart; the table grows."""
+    rng = np.random.default_rng(3)
+    h = np.unique(np.r_[np.arange(300, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(300, dtype=np.uint64), rng.integers(0, 2**63, 100_000).astype(np.uint64) * np.uint64(2)])
+    h = rng.permutation(h)
+    known, places = h[: len(h) // 2], words.Places()
+    assert (places.find(h) == -1).all()
+    for part in np.array_split(known, 7):
+        places.add(part)
+    assert (places.keys == known).all() and (places.find(known) == np.arange(len(known))).all() and (places.find(h[len(known) :]) == -1).all()
+    assert len(places.find(h[:0])) == 0 and (words.Places(known).find(h) == places.find(h)).all()
+
+
+def test_hashes_byte_by_byte():
+    """Sums over a word's bytes alone, whatever white space stands around it, in words beyond 4,096 bytes, too."""
+    texts = [" a\t\tB ", None, "é" * 3_000 + " " * 9_000 + "Q", "", "x\x0ey"]
+    (found,) = [w for _, _, w in words.blocks(pa.array(texts))]
+    step, wrap = int(words._STEP), (1 << 64) - 1
+    for h, w in zip(found.hashes().tolist(), [w for i in range(len(texts)) for w in found.text(i)], strict=True):
+        own = sum((b + 1) * int(words._PLACES[k % 4096]) + (k // 4096 * step * b if len(w) > 4096 else 0) for k, b in enumerate(w)) + len(w) * step
+        assert h == int(words.mix(np.array([own & wrap], np.uint64))[0])
+
+
 def test_untrained_model_is_its_prior():
     ids, first = _ids(CORPUS)
     rank, row, rows = lm.ranked(np.bincount(ids, minlength=lm.SIZE))
